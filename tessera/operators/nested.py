@@ -108,10 +108,10 @@ def plan_tables(records: DataFrame) -> dict[str, DataFrame]:
     where = ["plan_id", "label", "parent", "position"]
     bare = F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
     return {
-        "plans": t["record"].select("plan_id", text_of(v, "totalSteps").try_cast("int").alias("total_steps"), text_of(v, "estimatedTime").try_cast("double").alias("estimated_time")).distinct(),
+        "plans": t["record"].select("plan_id", text_of(v, "totalSteps").try_cast("double").alias("total_steps"), text_of(v, "estimatedTime").try_cast("double").alias("estimated_time")).distinct(),
         "modules": t["module"].select(*where, F.coalesce(text_of(v, "module"), bare).alias("module"), text_of(v, "priority").alias("priority")).distinct(),
         "scenarios": t["scenario"].select(*where, text_of(v, "id").alias("scenario_id"), F.coalesce(text_of(v, "name"), bare).alias("name"), *(text_of(v, c).alias(f"{c}_text") for c in ("given", "when", "then"))).distinct(),
-        "steps": t["step"].select(*where, text_of(v, "order").try_cast("int").alias("step_order"), F.coalesce(text_of(v, "description"), bare).alias("description"), text_of(v, "type").alias("type")).distinct(),
+        "steps": t["step"].select(*where, text_of(v, "order").try_cast("double").alias("step_order"), F.coalesce(text_of(v, "description"), bare).alias("description"), text_of(v, "type").alias("type")).distinct(),
         "actions": t["action"].select(*where, text_of(v, "type").alias("type"), text_of(v, "target").alias("target"), text_of(v, "value").alias("value_text"), F.coalesce(text_of(v, "description"), text_of(v, "expected"), bare).alias("description")).distinct(),
     }
 

@@ -54,9 +54,9 @@ SQL = {
     "p4_scenarios": f"""{_NODES} SELECT DISTINCT plan_id, concat_ws('.', module_no, scenario_no) AS label, module_no::VARCHAR AS parent, scenario_no::INT AS position, v ->> '$.id' AS scenario_id,
         CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' ELSE v ->> '$.name' END AS name, v ->> '$.given' AS given_text, v ->> '$.when' AS when_text, v ->> '$.then' AS then_text FROM scenarios""",
     "p4_steps": f"""{_NODES} SELECT DISTINCT plan_id, concat_ws('.', module_no, scenario_no, step_no) AS label, concat_ws('.', module_no, scenario_no) AS parent, step_no::INT AS position,
-        try_cast(v ->> '$.order' AS INT) AS step_order, CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' ELSE v ->> '$.description' END AS description, v ->> '$.type' AS type FROM steps""",
+        try_cast(v ->> '$.order' AS DOUBLE) AS step_order, CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' ELSE v ->> '$.description' END AS description, v ->> '$.type' AS type FROM steps""",
     "p4_actions": f"""{_NODES} SELECT DISTINCT plan_id, concat_ws('.', module_no, scenario_no, step_no, action_no) AS label, concat_ws('.', module_no, scenario_no, step_no) AS parent, action_no::INT AS position,
         v ->> '$.type' AS type, v ->> '$.target' AS target, v ->> '$.value' AS value_text,
         CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' ELSE coalesce(v ->> '$.description', v ->> '$.expected') END AS description FROM actions""",
-    "p4_plans": f"""{_NODES} SELECT DISTINCT plan_id, try_cast(v ->> '$.totalSteps' AS INT) AS total_steps, try_cast(v ->> '$.estimatedTime' AS DOUBLE) AS estimated_time FROM plans WHERE json_type(v) = 'OBJECT'""",
+    "p4_plans": f"""{_NODES} SELECT DISTINCT plan_id, try_cast(v ->> '$.totalSteps' AS DOUBLE) AS total_steps, try_cast(v ->> '$.estimatedTime' AS DOUBLE) AS estimated_time FROM plans WHERE json_type(v) = 'OBJECT'""",
 }
