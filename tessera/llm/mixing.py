@@ -152,11 +152,10 @@ def in_order(mixed: DataFrame) -> DataFrame:
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and reached share of every source, its documents, tokens and most copies of one document."""
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), (F.max("copy_no") + 1).cast("int").alias("most_copies"))
-    whole = used.agg(F.sum("tokens").alias("whole"))
     goal = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"])
     return (
         goal.join(used, "source", "left")
-        .join(F.broadcast(whole), F.lit(True), "left")
+        .withColumn("whole", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # one row for each listed source
         .select(
             "source",
             "target_share",

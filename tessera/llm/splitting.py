@@ -137,21 +137,17 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 PIECE = "slice_id long, piece_no int, n_pieces int, start int, length int, content string"
 
 
-def limits_of(limits: DataFrame) -> DataFrame:
-    """The limits by type, one row each; a fixed handful of rows."""
-    return limits.select(F.col("slice_type").alias("type"), F.col("max_file_size").alias("most"), F.col("overlap_chars").alias("shared")).dropDuplicates(["type"])
-
-
 def split_slices(slices: DataFrame, limits: DataFrame) -> DataFrame:
     """All pieces of the slices that are longer than the limit of their type."""
-    known = limits_of(limits)
-    default = known.where("type = 'default'").select(F.col("most").alias("d_most"), F.col("shared").alias("d_shared"))
+    known = {r.slice_type: (int(r.max_file_size), int(r.overlap_chars or 0)) for r in limits.where("slice_type is not null and max_file_size is not null").collect()}  # a handful of types
+    most, shared = (F.lit(known["default"][k]) if "default" in known else F.lit(None).cast("int") for k in (0, 1))
+    for name, (limit, overlap) in known.items():
+        most = F.when(F.col("type") == name, limit).otherwise(most)
+        shared = F.when(F.col("type") == name, overlap).otherwise(shared)
     rows = (
         slices.select(F.col("slice_id").cast("long").alias("slice_id"), F.coalesce("slice_type", F.lit("default")).alias("type"), "content")
         .where(F.col("content").isNotNull())
-        .join(F.broadcast(known), "type", "left")
-        .join(F.broadcast(default), F.lit(True), "left")
-        .select("slice_id", "content", F.coalesce("most", "d_most").alias("most"), F.coalesce("shared", "d_shared", F.lit(0)).alias("shared"))
+        .select("slice_id", "content", most.alias("most"), shared.alias("shared"))
         .where(F.length("content") > F.col("most"))
     )
 
