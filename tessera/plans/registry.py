@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold queries.
-MODULES = ("nested_plans",)
+MODULES = ("nested_plans", "scan_plans", "graph_plans", "rollup_plans")
 
 
 def _parts() -> list:
