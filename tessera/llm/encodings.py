@@ -152,11 +152,20 @@ class Bigrams:
 HIGH_RUN = re.compile("[\x80-\x9f]|[\u00a0-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2026\u2030\u2039\u203a\u20ac\u2122]{4}")
 
 
+#: Signs that stand for lead bytes when UTF-8 is read as Mac Roman; letters and quotes alone prove nothing.
+SIGNS = re.compile("[√¬‚∂∑∏π∫Ω≈∆◊†‡]")
+
+
 def suspicious(line: str) -> bool:
     """Whether a line may be garbled: left out when the language model is counted."""
     if LOST in line or HIGH_RUN.search(line):
         return True
-    return any(decipher(run, (w, "utf-8")) is not None and len(decipher(run, (w, "utf-8"))) < len(run) for run in NON_ASCII.findall(line) for w in ("cp1252", "mac_roman", "cp437", "cp1251"))
+    for run in NON_ASCII.findall(line):
+        for w in ("cp1252", "cp437", "cp1251", *(("mac_roman",) if SIGNS.search(run) else ())):
+            plain = decipher(run, (w, "utf-8"))
+            if plain is not None and len(plain) < len(run):
+                return True
+    return False
 
 
 def count_bigrams(texts: Iterable[str]) -> tuple[Counter, Counter]:
@@ -217,7 +226,7 @@ class Reading:
 #: Gain in log likelihood over the text as it stands, at least, and per garbled character.
 LEAST_GAIN, LEAST_VALID, GAIN_PER_CHARACTER = 6.0, 2.0, 0.25
 #: A line whose least expected step costs less than this is right as it stands.
-SURPRISE = 10.3
+SURPRISE = 11.5
 
 
 def readings(line: str, model: Bigrams) -> Iterator[Reading]:
@@ -261,9 +270,9 @@ def readings(line: str, model: Bigrams) -> Iterator[Reading]:
                 plain = again
 
 
-def best_readings(line: str, source: str, model: Bigrams, key: Key, number: dict) -> list[Reading]:
-    """The readings of a line that do not overlap and together gain most (weighted interval scheduling)."""
-    found = sorted((r for r in readings(line, model) if not mentioned(line, r.start, r.end)), key=lambda r: r.end)
+def best_readings(line: str, source: str, offered: list[Reading], key: Key, number: dict) -> list[Reading]:
+    """Those of the *offered* readings that do not overlap and together gain most (weighted interval scheduling)."""
+    found = sorted((r for r in offered if not mentioned(line, r.start, r.end)), key=lambda r: r.end)
     if not found:
         return []
     ends = [r.end for r in found]
@@ -340,8 +349,9 @@ def expect(texts: Iterable[tuple[str, str]], model: Bigrams, key: Key) -> tuple[
         for line in text.split("\n"):
             if line.isascii():
                 continue
-            spans: dict[tuple[int, int], list[Reading]] = {(r.start, r.end): [] for r in best_readings(line, source, model, key, number)}
-            for r in readings(line, model) if spans else ():
+            offered = list(readings(line, model))
+            spans: dict[tuple[int, int], list[Reading]] = {(r.start, r.end): [] for r in best_readings(line, source, offered, key, number)} if offered else {}
+            for r in offered:
                 if (r.start, r.end) in spans:
                     spans[(r.start, r.end)].append(r)
             for (start, end), found in spans.items():
@@ -367,7 +377,7 @@ def restore(text: str, source: str, model: Bigrams, key: Key, times: int = 3) ->
         for round_ in range(times):
             if line.isascii():
                 break
-            best = best_readings(line, source, model, key, number)
+            best = best_readings(line, source, list(readings(line, model)), key, number)
             if not best:
                 break
             fixed += len(best) if not round_ else 0
