@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,8 +50,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     outlives any of them. Only where the session names none (tests on one machine) a
     temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
+    _shared(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, shared by all executors, for states and written tables."""
+    return f"{_shared(spark)}/{uuid.uuid4().hex}"
