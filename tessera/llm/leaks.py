@@ -200,7 +200,7 @@ class Items:
         for chinese, units, vocabulary, items, joined, ids, start in self.sides:
             if not items:
                 continue
-            chosen = [n for n, t in enumerate(plain) if not chinese or len(re.findall(f"[{HAN}]", t[:100_000_000])) >= LETTER_SEED]
+            chosen = [n for n, t in enumerate(plain) if not chinese or len(re.findall(f"[{HAN}]", t)) >= LETTER_SEED]
             numbered = [np.array([vocabulary.get(w, -1) for w in units.findall(plain[n])] + [-1], dtype=np.int32) for n in chosen]
             if not numbered:
                 continue

@@ -138,7 +138,11 @@ PIECE = "slice_id long, piece_no int, n_pieces int, start int, length int, conte
 
 
 def split_slices(slices: DataFrame, limits: DataFrame) -> DataFrame:
-    """All pieces of the slices that are longer than the limit of their type."""
+    """All pieces of the slices that are longer than the limit of their type.
+
+    A null type, and one the limits do not name, has the limit of ``default``; without such a
+    limit, and for null texts, there is nothing to cut.
+    """
     known = {r.slice_type: (int(r.max_file_size), int(r.overlap_chars or 0)) for r in limits.where("slice_type is not null and max_file_size is not null").collect()}  # a handful of types
     most, shared = (F.lit(known["default"][k]) if "default" in known else F.lit(None).cast("int") for k in (0, 1))
     for name, (limit, overlap) in known.items():
