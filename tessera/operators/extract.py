@@ -109,7 +109,7 @@ def nodes(files: DataFrame) -> DataFrame:
 def contains_edges(all_nodes: DataFrame) -> DataFrame:
     """Edges from files to what they contain."""
     owners = all_nodes.where("type = 'file'").select("file_id", F.col("id").alias("src"))
-    return all_nodes.where("type <> 'file'").join(owners, "file_id").select("src", F.col("id").alias("dst"), F.lit("contains").alias("type"))
+    return all_nodes.where("type <> 'file'").join(owners, "file_id").select("src", F.col("id").alias("dst"), F.lit("contains").alias("type"), "file_id")
 
 
 def resolved_imports(found: DataFrame, known: DataFrame, extensions: tuple[str, ...] = (".js", ".jsx", ".ts", ".tsx", ".vue", ".dart")) -> DataFrame:
@@ -125,14 +125,16 @@ def resolved_imports(found: DataFrame, known: DataFrame, extensions: tuple[str,
 def ranked_calls(made: DataFrame, defined: DataFrame) -> DataFrame:
     """Calls with the function they mean: one in the same file, else the first exported, else the first of that name.
 
-    ``made``: file_id, caller, callee. ``defined``: file_id, name, line_no, exported.
+    ``made``: file_id, caller, callee. ``defined``: file_id, name, line_no, exported. Definitions
+    are reduced to one row a file and name, and to one a name, before any call meets them, so a
+    name that everyone declares and calls multiplies nothing. Calls of unknown names have nulls.
     """
-    options = defined.select(F.col("file_id").alias("target_file"), F.col("name").alias("callee"), F.col("line_no").alias("target_line"), "exported")
-    joined = made.join(options, "callee", "left")
-    order = F.struct(
-        F.when(F.col("target_file") == F.col("file_id"), 0).when(F.col("exported"), 1).otherwise(2).alias("how"), F.col("target_file").alias("f"), F.col("target_line").alias("l")
-    )
-    return joined.groupBy("file_id", "caller", "callee").agg(F.min_by(F.struct("target_file", "target_line"), F.when(F.col("target_file").isNotNull(), order)).alias("t")).select("file_id", "caller", "callee", "t.target_file", "t.target_line")
+    own = defined.groupBy("file_id", F.col("name").alias("callee")).agg(F.min("line_no").alias("own_line"))
+    order = F.struct((~F.coalesce("exported", F.lit(False))).alias("o"), F.col("file_id").alias("f"), F.col("line_no").alias("l"))
+    best = defined.groupBy(F.col("name").alias("callee")).agg(F.min(order).alias("best"))
+    joined = made.select("file_id", "caller", "callee").distinct().join(own, ["file_id", "callee"], "left").join(best, "callee", "left")
+    here = F.col("own_line").isNotNull()
+    return joined.select("file_id", "caller", "callee", F.when(here, F.col("file_id")).otherwise(F.col("best.f")).alias("target_file"), F.coalesce("own_line", "best.l").alias("target_line"))
 
 
 def file_tree(paths: DataFrame) -> DataFrame:

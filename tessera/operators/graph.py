@@ -2,7 +2,8 @@
 
 Reach and distance are computed by joins of a growing frontier. ``closure`` squares the
 relation instead, so that walks of length n need log2(n) rounds. Lineage is cut by reliable
-checkpoints every few rounds; nothing is gathered on the driver but row counts.
+checkpoints every few rounds; nothing is gathered on the driver but row counts. Edges with a
+null end are none, repeated edges count once, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,17 +22,22 @@ def next_part_edges(lineitem: DataFrame) -> DataFrame:
     return pairs.groupBy("src").agg(F.min_by("dst", F.struct("l_orderkey", "l_linenumber", "dst")).alias("dst"))
 
 
+def known(edges: DataFrame) -> DataFrame:
+    """Each edge once, with both ends."""
+    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def vertices(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Fan-in, fan-out and instability of every vertex."""
-    e = edges.distinct()
+    e = known(edges)
     out = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("fan_out"))
     into = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("fan_in"))
     d = out.join(into, "id", "full_outer").na.fill(0)
@@ -49,7 +55,7 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     ``start``: column origin. Breadth first: each round joins the frontier to the edges and
     keeps what no earlier round reached.
     """
-    e = edges.distinct()
+    e = known(edges)
     reached = start.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth")).distinct()
     frontier = reached
     for depth in range(1, most + 1):
@@ -68,7 +74,7 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
 
 def closure(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """``src, dst, depth``: all pairs joined by a walk, with its least length; walks up to 2 ** rounds."""
-    paths = checkpoint(edges.distinct().select("src", "dst", F.lit(1).alias("depth")))
+    paths = checkpoint(known(edges).select("src", "dst", F.lit(1).alias("depth")))
     n = paths.count()
     for _ in range(rounds):
         a, b = paths.alias("a"), paths.alias("b")
@@ -99,7 +105,7 @@ def walk(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
 
 def simple_paths(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     """``origin, path``: all simple paths from each origin of up to *most* edges."""
-    e = edges.distinct()
+    e = known(edges)
     level = start.select("origin", F.array("origin").alias("path"))
     out = level
     for step in range(1, most + 1):
@@ -124,8 +130,9 @@ def cycles(edges: DataFrame, rounds: int = 10) -> DataFrame:
     A vertex lies on a cycle if it reaches itself; the length is the least such walk, and the
     cycle is named by its smallest vertex.
     """
-    on = closure(edges, rounds).where("src = dst").select(F.col("src").alias("id"), "depth")
-    reach = closure(edges, rounds).join(on.select(F.col("id").alias("src")), "src").join(on.select(F.col("id").alias("dst")), "dst")
+    paths = closure(edges, rounds)
+    on = paths.where("src = dst").select(F.col("src").alias("id"), "depth")
+    reach = paths.join(on.select(F.col("id").alias("src")), "src").join(on.select(F.col("id").alias("dst")), "dst")
     named = reach.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("cycle"))
     return named.groupBy("cycle").agg(F.count("*").alias("length"))
 
@@ -137,7 +144,7 @@ def self_loops(edges: DataFrame) -> DataFrame:
 
 def mutual(edges: DataFrame) -> DataFrame:
     """Edges that also run the other way, both orders."""
-    e = edges.distinct()
+    e = known(edges)
     return e.join(reversed_edges(e), ["src", "dst"]).where("src <> dst")
 
 
@@ -184,19 +191,17 @@ def modularity(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.round((F.avg("cohesion") + (1 - F.avg("coupling")) + F.avg("balance")) / 3, 6).alias("modularity"), F.count("*").alias("modules"))
 
 
-def has_cycle(edges: DataFrame, rounds: int = 50) -> bool:
-    """Whether tasks wait for each other in a circle: peel off what waits for nothing until nothing changes."""
-    left = checkpoint(edges.select("src", "dst").distinct())
-    n = left.count()
-    for _ in range(rounds):
-        waiting = left.select("src").distinct()
-        left = checkpoint(left.join(waiting, left["dst"] == waiting["src"], "left_semi"))
-        now = left.count()
-        if now == 0:
-            return False
-        if now == n:
-            return True
-        n = now
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether tasks wait for each other in a circle: peel off what waits for nothing until nothing changes.
+
+    As many rounds as the longest chain is long; each keeps only a subset of the edges.
+    """
+    left = checkpoint(known(edges))
+    before, n = -1, left.count()
+    while 0 < n != before:
+        waiting = left.select(F.col("src").alias("dst")).distinct()
+        left = checkpoint(left.join(waiting, "dst", "left_semi"))
+        before, n = n, left.count()
     return n > 0
 
 

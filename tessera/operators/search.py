@@ -14,13 +14,23 @@ from tessera.functions.expressions import jaccard, tokens
 def similar(queries: DataFrame, corpus: DataFrame, least: float, k: int) -> DataFrame:
     """For each query the *k* most similar texts by shared tokens, above *least*; ties by id.
 
-    ``queries``: query, text. ``corpus``: id, text. Pairs come from an equi-join on tokens, so
-    only texts that share a token meet, and each pair carries counts, not texts.
+    ``queries``: query, text. ``corpus``: id, text. Two sets that overlap by at least *least* share
+    one of their rarest n - ceil(least * n) + 1 tokens, so only these are joined: the commonest
+    tokens, which everything shares, bring nobody together. Candidates are then measured on
+    their whole sets. Null texts are left out; an empty text is the set of one empty token.
     """
-    q = queries.select("query", tokens(F.col("text")).alias("t")).select("query", F.size("t").alias("nq"), F.explode("t").alias("token"))
-    c = corpus.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("nc"), F.explode("t").alias("token"))
-    shared = c.join(q, "token").groupBy("query", "id", "nq", "nc").agg(F.count("*").alias("n"))
-    scored = shared.select("query", "id", F.round(F.col("n") / (F.col("nq") + F.col("nc") - F.col("n")), 6).alias("similarity")).where(F.col("similarity") > least)
+    texts = corpus.where("text is not null").select("id", tokens(F.col("text")).alias("all"))
+    asked = queries.where("text is not null").select("query", tokens(F.col("text")).alias("all"))
+    common = texts.select(F.explode("all").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def rarest(rows: DataFrame, key: str) -> DataFrame:
+        exploded = rows.select(key, F.size("all").alias("of"), F.explode("all").alias("token")).join(common, "token", "left")
+        w = Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "token")
+        return exploded.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= F.col("of") - F.ceil(F.col("of") * least) + 1).select(key, "token")
+
+    pairs = rarest(texts, "id").join(rarest(asked, "query"), "token").select("query", "id").distinct()
+    both = pairs.join(asked.withColumnRenamed("all", "a"), "query").join(texts.withColumnRenamed("all", "b"), "id")
+    scored = both.select("query", "id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("similarity")).where(F.col("similarity") > least)
     return top_by(scored, "query", k, F.col("similarity").desc(), F.col("id"))
 
 

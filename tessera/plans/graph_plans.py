@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import extract, graph, scan
+from tessera.plans.scan_plans import _BODIES, _BUILT, _CLASSES, _FUNCTIONS, _IMPORTS, FILES
 from tessera.sources.tables import table
 
 NEXT = """(WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
@@ -201,7 +202,7 @@ def graph_nodes(spark, folder):
 def graph_edges(spark, folder):
     """Contained nodes by file."""
     n = extract.nodes(scan.stored_files(table(spark, folder, "files")))
-    return extract.contains_edges(n).groupBy("src").agg(F.count("*").alias("contained"))
+    return extract.contains_edges(n).groupBy("file_id").agg(F.count("*").alias("contained"))
 
 
 def class_parents(spark, folder):
@@ -271,3 +272,16 @@ SQL = {
     "ranked_lookup": "WITH g AS (SELECT l_partkey, l_suppkey, count(*) AS n, min(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, price, l_suppkey) AS k FROM g) SELECT l_partkey, l_suppkey AS supplier, n AS lines FROM r WHERE k = 1",
     "dot_export": f"""WITH s AS {STRONG} SELECT 'digraph G {{' AS text UNION ALL SELECT '}}' UNION ALL SELECT '  "' || id || '" [shape=box];' FROM (SELECT src AS id FROM s UNION SELECT dst FROM s) UNION ALL SELECT '  "' || src || '" -> "' || dst || '" [style=solid];' FROM s""",
 }
+
+SQL["class_parents"] = f"""WITH c AS (SELECT super_class AS name, count(*) AS children FROM {_CLASSES} WHERE super_class <> '' GROUP BY 1), d AS (SELECT name, count(*) AS declared FROM {_CLASSES} GROUP BY 1)
+    SELECT name, children, coalesce(declared, 0) AS declared FROM c LEFT JOIN d USING (name)"""
+SQL["function_lookup"] = f"SELECT name, count(DISTINCT file_id) AS files, min(file_path) AS first_path FROM {_FUNCTIONS} WHERE exported GROUP BY 1"
+_GRAPH = f"""(SELECT DISTINCT 'file' AS type, file_path, 0 AS line_no, '' AS name FROM {FILES} UNION ALL SELECT DISTINCT 'function', file_path, line_no, name FROM {_FUNCTIONS}
+    UNION ALL SELECT DISTINCT 'class', file_path, line_no, name FROM {_CLASSES} UNION ALL SELECT DISTINCT 'import', file_path, 0, source FROM {_IMPORTS})"""
+SQL["graph_nodes"] = f"SELECT type, count(*) AS nodes FROM {_GRAPH} GROUP BY 1"
+SQL["graph_edges"] = f"SELECT file_id, count(*) AS contained FROM {_GRAPH} n JOIN (SELECT DISTINCT file_id, file_path FROM files) f USING (file_path) WHERE type <> 'file' GROUP BY 1"
+SQL["call_resolution"] = f"""WITH d AS (SELECT file_id, name, line_no, exported FROM {_FUNCTIONS}),
+    m AS (SELECT DISTINCT file_id, name AS caller, unnest(regexp_extract_all(body, '([A-Za-z0-9_]+)\\s*\\(', 1)) AS callee FROM {_BODIES}),
+    j AS (SELECT m.file_id, caller, callee, d.file_id AS target_file, d.line_no AS target_line, CASE WHEN d.file_id = m.file_id THEN 0 WHEN exported THEN 1 ELSE 2 END AS how
+        FROM m JOIN d ON d.name = m.callee WHERE caller <> callee AND callee NOT IN ({_BUILT}))
+    SELECT file_id, caller, callee, target_file, target_line FROM j QUALIFY row_number() OVER (PARTITION BY file_id, caller, callee ORDER BY how, target_file, target_line) = 1"""

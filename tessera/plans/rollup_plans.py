@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from tessera.functions import expressions as X
 from tessera.operators import rollup
+from tessera.plans.nested_plans import SQL as NESTED
+from tessera.plans.scan_plans import _EXTERNAL, _IMPORTS
 from tessera.sources.tables import table
 
 ISSUES = "(SELECT DISTINCT issue_id, rule_id, severity, message, line, repo, file_path, lang, auto_fix, scanned_at FROM issues)"
@@ -294,3 +296,11 @@ SQL = {
     "component_usage": "WITH u AS (SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1) SELECT p_brand, sum(coalesce(uses, 0))::BIGINT AS uses, round(count(uses) / count(*)::DOUBLE, 6) AS rate FROM part LEFT JOIN u ON p_partkey = l_partkey GROUP BY 1 ORDER BY uses DESC, p_brand LIMIT 10",
     "knowledge_stats": "SELECT lower(replace(coalesce(source, 'none'), '-', '_')) AS source, count(*) AS documents, round(avg(coalesce(n_chars, 0)), 6) AS mean_chars FROM documents GROUP BY 1",
 }
+
+SQL["package_risks"] = f"""SELECT CASE WHEN regexp_matches(source, 'request|material-ui|redux-thunk|mobx-react') THEN 'high' WHEN source IN ('react','react-dom','vue','angular','flutter') OR regexp_matches(source, '^@(react|react-dom|vue|angular|flutter)') THEN 'low' ELSE 'medium' END AS risk,
+    count(DISTINCT source) AS packages, count(*) AS imports FROM {_IMPORTS} WHERE {_EXTERNAL} GROUP BY 1"""
+SQL["tool_usage"] = f"SELECT coalesce(type, 'text') AS type, count(*) AS steps FROM ({NESTED['p4_actions']}) GROUP BY 1"
+SQL["bdd_modules"] = f"""WITH m AS (SELECT plan_id, label, module, CASE WHEN lower(priority) IN ('critical','p0') THEN 0 WHEN lower(priority) IN ('high','p1') THEN 1 WHEN lower(priority) IN ('medium','p2') THEN 2 ELSE 3 END AS rank FROM ({NESTED['p4_modules']})),
+    s AS (SELECT plan_id, parent AS label, count(*) AS scenarios FROM ({NESTED['p4_scenarios']}) GROUP BY ALL),
+    t AS (SELECT plan_id, string_split(parent, '.')[1] AS label, count(*) AS steps FROM ({NESTED['p4_steps']}) GROUP BY ALL)
+    SELECT module, count(*) AS plans, sum(coalesce(scenarios, 0))::BIGINT AS scenarios, min(rank) AS rank, round(sum(coalesce(steps, 0)) * 0.5::DOUBLE, 2) AS time FROM m LEFT JOIN s USING (plan_id, label) LEFT JOIN t USING (plan_id, label) GROUP BY 1"""

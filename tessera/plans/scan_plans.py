@@ -355,3 +355,35 @@ SQL["file_types"] = f"""WITH p AS (SELECT lower(list_last(string_split(file_path
     SELECT CASE WHEN ext IN ('.vue', '.jsx', '.tsx') THEN 'component' WHEN regexp_matches(folder, 'page|screen|view') THEN 'page' WHEN regexp_matches(folder, 'service|api') OR regexp_matches(name, 'service|api') THEN 'service' WHEN regexp_matches(folder, 'util|helper') OR regexp_matches(name, 'util|helper') THEN 'utility'
         WHEN regexp_matches(folder, 'constant|config') OR regexp_matches(name, 'constant|config') THEN 'config' WHEN suffix(name, '.d.ts') OR regexp_matches(folder, 'types|interfaces') THEN 'type' WHEN ext IN ('.css', '.scss', '.sass', '.less', '.styl') THEN 'style' WHEN regexp_matches(name, '\\.test\\.|\\.spec\\.|__tests__') THEN 'test'
         WHEN regexp_matches(folder, 'model|entity') OR regexp_matches(name, 'model|entity') THEN 'model' WHEN regexp_matches(folder, 'store|state') OR contains(name, 'store') THEN 'store' WHEN starts_with(name, 'use') AND ext IN ('.js', '.ts') THEN 'hook' ELSE 'module' END AS kind, count(*) AS files FROM q GROUP BY 1"""
+
+_KNOWN_JS = f"(SELECT * FROM {FILES} WHERE lang IN ('javascript', 'typescript') AND content IS NOT NULL)"
+SQL["undefined_calls"] = f"""WITH c AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '(?:^|[^.A-Za-z0-9_])([a-z][A-Za-z0-9_]*)\\(', 1)) AS name FROM {_KNOWN_JS}),
+    k AS (SELECT DISTINCT file_id, unnest(regexp_extract_all(content, '(?:function\\s+|const\\s+|let\\s+|class\\s+|\\{{\\s*)([A-Za-z_][A-Za-z0-9_]*)', 1)) AS name FROM {_KNOWN_JS})
+    SELECT file_id, name FROM c WHERE name NOT IN ({", ".join(f"'{k}'" for k in _KEYWORDS)}) EXCEPT SELECT file_id, name FROM k"""
+
+
+def _purpose_sql() -> str:
+    tests = []
+    for label, parts, starts, inner in X.PURPOSES:
+        t = [f"contains(n, '{p}')" for p in parts] + [f"starts_with(n, '{p}')" for p in starts] + [f"contains(b, '{p}')" for p in inner]
+        t += ["n IN ('render', 'build')"] if label == "render" else ["(starts_with(n, 'get') OR starts_with(n, 'set')) AND length(n) > 3"] if label == "accessor" else []
+        tests.append(f"CASE WHEN {' OR '.join(t)} THEN '{label}' END")
+    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+
+
+SQL["function_purposes"] = f"""WITH f AS (SELECT name, lower(name) AS n, lower(body) AS b FROM {_BODIES}), p AS (SELECT *, {_purpose_sql()} AS p FROM f)
+    SELECT CASE WHEN len(p) = 0 THEN 'business-logic' ELSE p[1] END AS purpose, CASE WHEN len(p) > 1 THEN 'medium' WHEN length(n) > 0 AND contains(b, replace(n, '_', '')) THEN 'high' ELSE 'low' END AS confidence,
+    CASE WHEN starts_with(name, '_') THEN 'protected' WHEN suffix(name, '_') THEN 'private' ELSE 'public' END AS access, count(*) AS functions FROM p GROUP BY ALL"""
+_FUNCTIONS = f"""(SELECT *, contains(line, 'async') AS is_async, starts_with(line, 'export') AS exported FROM (SELECT *, CASE WHEN lang IN ('javascript','typescript','jsx','tsx','vue') THEN CASE WHEN regexp_extract(line, '{extract.FUNCTION["javascript"]}', 1) <> '' THEN regexp_extract(line, '{extract.FUNCTION["javascript"]}', 1) ELSE regexp_extract(line, '{extract.FUNCTION["arrow"]}', 1) END
+    WHEN lang = 'dart' THEN regexp_extract(line, '{extract.FUNCTION["dart"]}', 1) WHEN lang = 'python' THEN regexp_extract(line, '{extract.FUNCTION["python"]}', 1) END AS name FROM {LINES}) WHERE name <> '')"""
+SQL["import_targets"] = f"""WITH RECURSIVE i AS (SELECT DISTINCT file_id, file_path, lang, source, {_EXTERNAL} AS external FROM {_IMPORTS}),
+    s AS (SELECT DISTINCT file_path, source, list_filter(string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/') || string_split(source, '/'), lambda x: x NOT IN ('', '.')) AS rest, []::VARCHAR[] AS done FROM i WHERE NOT external
+        UNION ALL SELECT file_path, source, rest[2:], CASE WHEN rest[1] = '..' THEN done[:-2] ELSE list_append(done, rest[1]) END FROM s WHERE len(rest) > 0),
+    t AS (SELECT file_path, source, array_to_string(done, '/') AS target FROM s WHERE len(rest) = 0),
+    c AS (SELECT file_path, source, target || e AS candidate FROM t, (SELECT unnest(['', '.js', '.jsx', '.ts', '.tsx', '.vue', '.dart']) AS e)),
+    r AS (SELECT DISTINCT c.file_path, c.source FROM c JOIN files f ON f.file_path = c.candidate)
+    SELECT external, r.source IS NOT NULL AS resolved, count(*) AS imports FROM (SELECT DISTINCT file_id, file_path, source, external FROM i) i LEFT JOIN r ON r.file_path = i.file_path AND r.source = i.source AND NOT external GROUP BY ALL"""
+SQL["resolved_paths"] = f"""WITH RECURSIVE i AS (SELECT DISTINCT file_id, file_path, source FROM {_IMPORTS} WHERE starts_with(source, '.') AND lang <> 'python'),
+    s AS (SELECT *, list_filter(string_split(regexp_replace(file_path, '/?[^/]*$', ''), '/') || string_split(source, '/'), lambda x: x NOT IN ('', '.')) AS rest, []::VARCHAR[] AS done FROM i
+        UNION ALL SELECT file_id, file_path, source, rest[2:], CASE WHEN rest[1] = '..' THEN done[:-2] ELSE list_append(done, rest[1]) END FROM s WHERE len(rest) > 0)
+    SELECT file_id, source, array_to_string(done, '/') AS target FROM s WHERE len(rest) = 0"""
