@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.windows import over_previous
 
 
 def equal_to(rows: DataFrame, **wanted) -> DataFrame:
@@ -71,8 +72,8 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 def seconds_to_next(events: DataFrame, key: str, at: str, ident: str) -> DataFrame:
     """Seconds from each event to the next of its key; null for the last."""
-    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, ident))
-    return events.select(ident, ((F.unix_millis(following.cast("timestamp")) - F.unix_millis(F.col(at).cast("timestamp"))) / 1000).alias("seconds"))
+    e = over_previous(events.select(key, at, ident), [key], [F.col(at).desc(), F.col(ident).desc()], 1, {"following": lambda w: F.lag(at).over(w)})
+    return e.select(ident, ((F.unix_millis(F.col("following").cast("timestamp")) - F.unix_millis(F.col(at).cast("timestamp"))) / 1000).alias("seconds"))
 
 
 def first_category(value: Column, patterns: list[tuple[str, str]], otherwise: str = "other") -> Column:

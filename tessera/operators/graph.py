@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tessera.operators.windows import over_previous
 from tessera.session import checkpoint
 
 
 def next_part_edges(lineitem: DataFrame) -> DataFrame:
     """A sparse graph with at most one edge out of each part: the part that follows it in its first order."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    pairs = lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null and src <> dst")
+    li = lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = [F.col(c).desc() for c in ("l_linenumber", "l_partkey", "l_suppkey")]
+    following = over_previous(li, ["l_orderkey"], order, 1, {"dst": lambda w: F.lag("l_partkey").over(w)})
+    pairs = following.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), "dst").where("dst is not null and src <> dst")
     return pairs.groupBy("src").agg(F.min_by("dst", F.struct("l_orderkey", "l_linenumber", "dst")).alias("dst"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.expressions import half_up, ratio
+from tessera.operators.windows import numbered
 
 SEVERITIES = ("error", "warning", "info")
 
@@ -65,13 +65,8 @@ def age_buckets(rows: DataFrame, at: str, now: str) -> DataFrame:
 
 
 def chunks(rows: DataFrame, by: str, order: list[str], most: Column) -> DataFrame:
-    """Rows of each group in segments of at most *most*, in order.
-
-    Positions come from a window over the group; a group that holds a large part of all rows
-    should be split by a finer key first, as ``segment_counts`` in the plans does by count.
-    """
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("segment", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
+    """Rows of each group in segments of at most *most*, in order; the order must tell rows apart."""
+    return numbered(rows, [by], order, "_n").withColumn("segment", F.floor((F.col("_n") - 1) / most).cast("int")).drop("_n")
 
 
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.expressions import jaccard, tokens
+from tessera.operators.windows import numbered, over_previous
 
 
 def similar(queries: DataFrame, corpus: DataFrame, least: float, k: int) -> DataFrame:
@@ -70,8 +71,8 @@ def data_quality(text: Column) -> Column:
 
 def continuity(rows: DataFrame, key: str, order: list[str], what: str, weight: float = 0.2) -> DataFrame:
     """*weight* for rows whose *what* occurs among the three before it of the same key."""
-    before = F.collect_list(what).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-3, -1))
-    return rows.withColumn("continuity", F.when(F.array_contains(before, F.col(what)), F.lit(weight)).otherwise(F.lit(0.0)))
+    before = lambda w: F.collect_list(what).over(w.rowsBetween(-3, -1))
+    return over_previous(rows, [key], order, 3, {"continuity": lambda w: F.when(F.array_contains(before(w), F.col(what)), F.lit(weight)).otherwise(F.lit(0.0))})
 
 
 def retention_score(accesses: Column, age_days: Column) -> Column:
@@ -80,8 +81,9 @@ def retention_score(accesses: Column, age_days: Column) -> Column:
 
 def leading_share(rows: DataFrame, key: str, order: list[str], share: float) -> DataFrame:
     """The leading ceil(n * share) rows of each key."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("n", F.row_number().over(w.orderBy(*order))).withColumn("of", F.count("*").over(w)).where(F.col("n") <= F.ceil(F.col("of") * share)).drop("n", "of")
+    n = numbered(rows, [key], order, "_n")
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_of"))
+    return n.join(sizes, n[key].eqNullSafe(sizes["_key"])).where(F.col("_n") <= F.ceil(F.col("_of") * share)).select(*rows.columns)
 
 
 def matching(requirements: DataFrame, corpus: DataFrame) -> DataFrame:

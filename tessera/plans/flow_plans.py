@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import expressions as X
 from tessera.functions import repair
 from tessera.operators import extract, filters, scan, search
 from tessera.operators.filters import Field
+from tessera.operators.windows import over_previous
 from tessera.plans.scan_plans import _CLASSES, _EXTERNAL, _FUNCTIONS, _IMPORTS, FILES
 from tessera.plans.scan_plans import SQL as SCAN
 from tessera.sources import documents as D
@@ -34,7 +34,7 @@ def translation_search(spark, folder):
 def runnable_orders(spark, folder):
     """Open orders of customers whose order before was filled, or who had none."""
     o = table(spark, folder, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("pending").alias("status"))
-    needs = o.select("id", F.lag("id").over(Window.partitionBy("o_custkey").orderBy("id")).alias("need"))
+    needs = over_previous(o, ["o_custkey"], ["id"], 1, {"need": lambda w: F.lag("id").over(w)}).select("id", "need")
     return filters.runnable(o.select("id", "status"), needs)
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import expressions as X
 from tessera.operators import search
+from tessera.operators.windows import numbered
 from tessera.plans.rollup_plans import ISSUES, _issues
 from tessera.sources.tables import table
 
@@ -28,10 +28,12 @@ def keyword_topk(spark, folder):
 def priority_rank(spark, folder):
     """Issues of each file by priority."""
     i = _issues(spark, folder)
-    w = Window.partitionBy("file_path")
-    i = i.withColumn("in_file", F.count("*").over(w)).withColumn("again", F.count("*").over(Window.partitionBy("file_path", "rule_id")) > 1)
+    by_rule = i.groupBy(F.col("file_path").alias("_f"), F.col("rule_id").alias("_r")).agg(F.count("*").alias("_n"))
+    by_file = by_rule.groupBy(F.col("_f").alias("_g")).agg(F.sum("_n").alias("in_file"))
+    i = i.join(by_rule, i["file_path"].eqNullSafe(by_rule["_f"]) & i["rule_id"].eqNullSafe(by_rule["_r"])).withColumn("again", F.col("_n") > 1)
+    i = i.join(by_file, i["file_path"].eqNullSafe(by_file["_g"]))
     i = i.withColumn("score", search.issue_score(F.coalesce("severity", F.lit("")), F.col("again"), F.col("in_file"), F.coalesce("rule_id", F.lit(""))))
-    return i.select("issue_id", "file_path", "score", F.row_number().over(w.orderBy(F.col("score").desc(), "issue_id")).alias("rank"))
+    return numbered(i.select("issue_id", "file_path", "score"), ["file_path"], [F.col("score").desc(), "issue_id"], "rank")
 
 
 def history_continuity(spark, folder):
@@ -107,9 +109,9 @@ def relevance_factors(spark, folder):
 
 def ordered_work(spark, folder):
     """Each customer's orders by priority, larger totals first within one."""
-    o = table(spark, folder, "orders")
-    w = Window.partitionBy("o_custkey").orderBy(F.substring("o_orderpriority", 1, 1), F.col("o_totalprice").desc(), "o_orderkey")
-    return o.select("o_orderkey", F.row_number().over(w).alias("rank"))
+    o = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+    order = [F.substring("o_orderpriority", 1, 1), F.col("o_totalprice").desc(), "o_orderkey"]
+    return numbered(o, ["o_custkey"], order, "rank").select("o_orderkey", "rank")
 
 
 QUERIES = {
