@@ -268,7 +268,7 @@ def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:
     counts = found.groupBy("item_id").agg(
         F.count("*").cast("long").alias("n_docs"), F.max("span").alias("longest"), F.max((F.col("span") >= F.col("item_length")).cast("int")).alias("whole")
     )
-    return counts.join(F.broadcast(items.select("item_id", "suite").dropDuplicates(["item_id"])), "item_id")
+    return counts.join(items.select("item_id", "suite").dropDuplicates(["item_id"]), "item_id")
 
 
 def cleaned(documents: DataFrame, found: DataFrame) -> DataFrame:
