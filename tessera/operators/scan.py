@@ -62,16 +62,26 @@ def matches(found: DataFrame, rules: DataFrame, keep: tuple[str, ...], language:
 
 
 def file_level(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Issues of whole files: too many lines (once, at 1:1), and lines that are too long (each, at the limit + 1)."""
-    parts = []
-    for r in _rules(rules):
-        scope = files if "all" in (r.languages or []) else files.where(F.col("lang").isin(list(r.languages or [])))
-        if r.max_lines:
-            parts.append(scope.where(F.size(F.split("content", "\n", -1)) > r.max_lines).select("file_id", F.lit(1).alias("line_no"), F.lit(r.rule_id).alias("rule_id"), F.lit(1).alias("col_no"), F.lit("").alias("code")))
-        if r.max_length:
-            long = lines(scope).where(F.length("line") > r.max_length)
-            parts.append(long.select("file_id", "line_no", F.lit(r.rule_id).alias("rule_id"), F.lit(r.max_length + 1).alias("col_no"), F.substring("line", 1, 50).alias("code")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Issues of whole files: too many lines (once, at 1:1), and lines that are too long (each, at the limit + 1).
+
+    One pass over the files for each of the two kinds, whatever the number of rules.
+    """
+    known = _rules(rules)
+
+    def applies(r) -> Column:
+        return F.lit(True) if "all" in (r.languages or []) else F.coalesce(F.col("lang").isin(list(r.languages or [])), F.lit(False))
+
+    def found(rows: DataFrame, tests: list[Column]) -> DataFrame:
+        hits = F.filter(F.array(*tests, F.lit(None).cast("struct<rule_id:string,col_no:int,code:string>")), lambda x: x.isNotNull())
+        return rows.select("file_id", "line_no", F.explode(hits).alias("h")).select("file_id", "line_no", "h.rule_id", "h.col_no", "h.code")
+
+    def hit(r, at: int, code: Column) -> Column:
+        return F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(at).alias("col_no"), code.alias("code"))
+
+    size = F.size(F.split("content", "\n", -1))
+    whole = found(files.withColumn("line_no", F.lit(1)), [F.when(applies(r) & (size > r.max_lines), hit(r, 1, F.lit(""))) for r in known if r.max_lines])
+    long = found(lines(files, "file_id", "content", "lang"), [F.when(applies(r) & (F.length("line") > r.max_length), hit(r, r.max_length + 1, F.substring("line", 1, 50))) for r in known if r.max_length])
+    return whole.unionByName(long)
 
 
 def summary(issues: DataFrame, files: DataFrame) -> DataFrame:
