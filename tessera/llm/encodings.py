@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import spread
+from tessera.session import checkpoint, spread
 
 LOST = "�"
 NON_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -412,11 +412,27 @@ def language_model(documents: DataFrame) -> Bigrams:
     return Bigrams({(a, b): n for a, b, n in rows if a}, {b: n for a, b, n in rows if not a})
 
 
-def learn(documents: DataFrame, model: Bigrams, rounds: int = 2) -> Key:
-    """Expectation-maximisation over all documents, *rounds* passes."""
+def candidates(documents: DataFrame, model: Bigrams) -> DataFrame:
+    """``doc_id, source, text`` of the documents that can be read otherwise anywhere, or have lost letters.
+
+    Which readings a line has depends on the language model alone, not on what the rounds
+    learn, so all passes after this one need no other documents. The result is checkpointed.
+    """
     broadcast = documents.sparkSession.sparkContext.broadcast((model.pairs, model.singles))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Bigrams(*broadcast.value)
+        for batch in batches:
+            yield batch[[any(not line.isascii() and (LOST in line or next(readings(line, m), None) is not None) for line in text.split("\n")) for text in batch["text"]]]
+
+    texts = _texts(documents).where(F.col("text").rlike("[^\\x00-\\x7f]"))
+    return checkpoint(texts.mapInPandas(run, "doc_id long, text string, source string"))
+
+
+def learn(worth: DataFrame, model: Bigrams, rounds: int = 2) -> Key:
+    """Expectation-maximisation over all candidates, *rounds* passes."""
+    broadcast = worth.sparkSession.sparkContext.broadcast((model.pairs, model.singles))
     key = NO_KEY
-    candidates = _texts(documents).where(F.col("text").rlike("[^\\x00-\\x7f]"))
     for _ in range(rounds):
         weights_so_far = key.prior, key.floor
 
@@ -431,7 +447,7 @@ def learn(documents: DataFrame, model: Bigrams, rounds: int = 2) -> Key:
             rows = [(s, c, "", "", w) for (s, c), w in used.items()] + [("", c, u, x, w) for (c, u, x), w in letters.items()]
             yield pd.DataFrame(rows, columns=["source", "cipher", "unit", "letter", "w"])
 
-        rows = candidates.mapInPandas(run, "source string, cipher int, unit string, letter string, w double").groupBy("source", "cipher", "unit", "letter").agg(F.sum("w").alias("w")).collect()
+        rows = worth.mapInPandas(run, "source string, cipher int, unit string, letter string, w double").groupBy("source", "cipher", "unit", "letter").agg(F.sum("w").alias("w")).collect()
         top: dict[tuple[int, str], tuple[float, str]] = {}
         for r in rows:
             if r.unit:
@@ -451,7 +467,8 @@ GARBLED = "doc_id long, runs int, lost int, restored string"
 def garbled(documents: DataFrame, rounds: int = 2) -> DataFrame:
     """``doc_id, runs, lost, restored`` of every garbled document; restored is null if letters are lost."""
     model = language_model(documents)
-    key = learn(documents, model, rounds)
+    worth = candidates(documents, model)
+    key = learn(worth, model, rounds)
     broadcast = documents.sparkSession.sparkContext.broadcast((model.pairs, model.singles, key))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -465,4 +482,4 @@ def garbled(documents: DataFrame, rounds: int = 2) -> DataFrame:
                     out.append((i, runs, lost, None if lost else plain))
             yield pd.DataFrame(out, columns=["doc_id", "runs", "lost", "restored"])
 
-    return _texts(documents).where(F.col("text").rlike("[^\\x00-\\x7f]")).mapInPandas(run, GARBLED).dropDuplicates(["doc_id"])
+    return worth.mapInPandas(run, GARBLED).dropDuplicates(["doc_id"])
