@@ -21,6 +21,7 @@ shows such a fault (``mentioned``) is no case; text encoded twice is decoded twi
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from bisect import bisect_right
@@ -340,17 +341,34 @@ class Key:
 NO_KEY = Key({}, {})
 
 
-def expect(texts: Iterable[tuple[str, str]], model: Bigrams, key: Key) -> tuple[Counter, Counter]:
-    """E step: expected uses by (source, cipher) and of (cipher, unit, letter)."""
+def offers(text: str, model: Bigrams) -> dict[int, list[Reading]]:
+    """The readings of each line that has any."""
+    found = ((n, list(readings(line, model))) for n, line in enumerate(text.split("\n")) if not line.isascii())
+    return {n: r for n, r in found if r}
+
+
+def packed(offered: dict[int, list[Reading]]) -> str:
+    number = {c: k for k, c in enumerate(CIPHERS)}
+    return json.dumps([[n, r.start, r.end, r.plain, number[r.cipher], r.gain] for n, found in offered.items() for r in found])
+
+
+def unpacked(text: str) -> dict[int, list[Reading]]:
+    out: dict[int, list[Reading]] = {}
+    for n, start, end, plain, k, gain in json.loads(text):
+        out.setdefault(n, []).append(Reading(start, end, plain, CIPHERS[k], gain))
+    return out
+
+
+def expect(texts: Iterable[tuple[str, str, dict[int, list[Reading]]]], key: Key) -> tuple[Counter, Counter]:
+    """E step over (source, text, readings by line): expected uses by (source, cipher) and of (cipher, unit, letter)."""
     used: Counter = Counter()
     letters: Counter = Counter()
     number = {c: k for k, c in enumerate(CIPHERS)}
-    for source, text in texts:
-        for line in text.split("\n"):
-            if line.isascii():
-                continue
-            offered = list(readings(line, model))
-            spans: dict[tuple[int, int], list[Reading]] = {(r.start, r.end): [] for r in best_readings(line, source, offered, key, number)} if offered else {}
+    for source, text, by_line in texts:
+        lines = text.split("\n")
+        for n, offered in by_line.items():
+            line = lines[n]
+            spans: dict[tuple[int, int], list[Reading]] = {(r.start, r.end): [] for r in best_readings(line, source, offered, key, number)}
             for r in offered:
                 if (r.start, r.end) in spans:
                     spans[(r.start, r.end)].append(r)
@@ -369,15 +387,15 @@ def expect(texts: Iterable[tuple[str, str]], model: Bigrams, key: Key) -> tuple[
     return used, letters
 
 
-def restore(text: str, source: str, model: Bigrams, key: Key, times: int = 3) -> tuple[str, int, int]:
-    """The text restored as far as possible, runs restored, and characters lost for good."""
+def restore(text: str, source: str, model: Bigrams, key: Key, offered: dict[int, list[Reading]], times: int = 3) -> tuple[str, int, int]:
+    """The text restored as far as possible, runs restored, and characters lost for good; lines that change are read again."""
     number = {c: k for k, c in enumerate(CIPHERS)}
     out, fixed, lost = [], 0, 0
-    for line in text.split("\n"):
+    for n, line in enumerate(text.split("\n")):
         for round_ in range(times):
             if line.isascii():
                 break
-            best = best_readings(line, source, list(readings(line, model)), key, number)
+            best = best_readings(line, source, list(readings(line, model)) if round_ else offered.get(n, []), key, number)
             if not best:
                 break
             fixed += len(best) if not round_ else 0
@@ -413,35 +431,37 @@ def language_model(documents: DataFrame) -> Bigrams:
 
 
 def candidates(documents: DataFrame, model: Bigrams) -> DataFrame:
-    """``doc_id, source, text`` of the documents that can be read otherwise anywhere, or have lost letters.
+    """``doc_id, source, text, offered`` of the documents that can be read otherwise anywhere, or have lost letters.
 
     Which readings a line has depends on the language model alone, not on what the rounds
-    learn, so all passes after this one need no other documents. The result is checkpointed.
+    learn, so they are made once, and all later passes need no other documents. The result is
+    checkpointed.
     """
     broadcast = documents.sparkSession.sparkContext.broadcast((model.pairs, model.singles))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Bigrams(*broadcast.value)
         for batch in batches:
-            yield batch[[any(not line.isascii() and (LOST in line or next(readings(line, m), None) is not None) for line in text.split("\n")) for text in batch["text"]]]
+            offered = [offers(text, m) for text in batch["text"]]
+            batch["offered"] = [packed(o) for o in offered]
+            yield batch[[bool(o) or LOST in text for o, text in zip(offered, batch["text"], strict=True)]]
 
     texts = _texts(documents).where(F.col("text").rlike("[^\\x00-\\x7f]"))
-    return checkpoint(texts.mapInPandas(run, "doc_id long, text string, source string"))
+    return checkpoint(texts.mapInPandas(run, "doc_id long, text string, source string, offered string"))
 
 
-def learn(worth: DataFrame, model: Bigrams, rounds: int = 2) -> Key:
+def learn(worth: DataFrame, rounds: int = 2) -> Key:
     """Expectation-maximisation over all candidates, *rounds* passes."""
-    broadcast = worth.sparkSession.sparkContext.broadcast((model.pairs, model.singles))
     key = NO_KEY
     for _ in range(rounds):
         weights_so_far = key.prior, key.floor
 
         def run(batches: Iterator[pd.DataFrame], known=weights_so_far) -> Iterator[pd.DataFrame]:
-            m, k = Bigrams(*broadcast.value), Key({}, {})
+            k = Key({}, {})
             k.prior, k.floor = known
             used, letters = Counter(), Counter()
             for batch in batches:
-                u, x = expect(zip(batch["source"], batch["text"], strict=True), m, k)
+                u, x = expect(zip(batch["source"], batch["text"], map(unpacked, batch["offered"]), strict=True), k)
                 used.update(u)
                 letters.update(x)
             rows = [(s, c, "", "", w) for (s, c), w in used.items()] + [("", c, u, x, w) for (c, u, x), w in letters.items()]
@@ -468,7 +488,7 @@ def garbled(documents: DataFrame, rounds: int = 2) -> DataFrame:
     """``doc_id, runs, lost, restored`` of every garbled document; restored is null if letters are lost."""
     model = language_model(documents)
     worth = candidates(documents, model)
-    key = learn(worth, model, rounds)
+    key = learn(worth, rounds)
     broadcast = documents.sparkSession.sparkContext.broadcast((model.pairs, model.singles, key))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -476,8 +496,8 @@ def garbled(documents: DataFrame, rounds: int = 2) -> DataFrame:
         m = Bigrams(pairs, singles)
         for batch in batches:
             out = []
-            for i, source, text in zip(batch["doc_id"], batch["source"], batch["text"], strict=True):
-                plain, runs, lost = restore(text, source, m, k)
+            for i, source, text, offered in zip(batch["doc_id"], batch["source"], batch["text"], batch["offered"], strict=True):
+                plain, runs, lost = restore(text, source, m, k, unpacked(offered))
                 if runs or lost:
                     out.append((i, runs, lost, None if lost else plain))
             yield pd.DataFrame(out, columns=["doc_id", "runs", "lost", "restored"])
