@@ -29,6 +29,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,17 +170,29 @@ def suspicious(line: str) -> bool:
     return False
 
 
+#: The symbols of ASCII by code; the line end keeps its own, so that pairs over it can be left out.
+ASCII = np.array([10 if i == 10 else ord(symbol(chr(i))) for i in range(128)], dtype=np.int64)
+
+
 def count_bigrams(texts: Iterable[str]) -> tuple[Counter, Counter]:
+    """Pairs of symbols of all lines that are not suspicious, and their Chinese characters and Hangul; ASCII lines are counted as arrays."""
     pairs, singles = Counter(), Counter()
+    plain = []
     for text in texts:
         for line in text.split("\n"):
-            if line.isascii() and len(line) > 0:
-                s = [symbol(c) for c in f" {line} "]
-                pairs.update(zip(s, s[1:], strict=False))
-            elif line and not suspicious(line):
+            if line.isascii():
+                if line:
+                    plain.append(line)
+            elif not suspicious(line):
                 s = [symbol(c) for c in f" {line} "]
                 pairs.update(zip(s, s[1:], strict=False))
                 singles.update(c for c in line if symbol(c) in "一가")
+    if plain:
+        codes = ASCII[np.frombuffer((" " + " \n ".join(plain) + " ").encode("ascii"), dtype=np.uint8)]
+        n = np.bincount(codes[:-1] * 128 + codes[1:], minlength=128 * 128).reshape(128, 128)
+        n[10, :] = n[:, 10] = 0
+        for a, b in zip(*np.nonzero(n), strict=True):
+            pairs[chr(a), chr(b)] += int(n[a, b])
     return pairs, singles
 
 
