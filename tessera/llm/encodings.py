@@ -63,7 +63,8 @@ CIPHERS: tuple[tuple[str, str], ...] = (
     *((w, t) for w in DOUBLE for t in DOUBLE if w != t),
 )
 PAGES = {w: _page(w) for w in SINGLE}
-READABLE = {w: re.compile("[" + re.escape("".join(map(chr, sorted(t)))) + "]+") for w, t in PAGES.items()}
+#: Stretches that a page can have produced; of multi-byte encodings all that is not lost.
+STRETCH = {w: re.compile("[\\x00-\\x7f" + re.escape("".join(map(chr, sorted(t)))) + "]+") for w, t in PAGES.items()} | {w: re.compile(f"[^{LOST}]+") for w in DOUBLE}
 
 
 def to_bytes(text: str, read_as: str) -> bytes | None:
@@ -78,11 +79,14 @@ def to_bytes(text: str, read_as: str) -> bytes | None:
 
 def decipher(text: str, cipher: tuple[str, str]) -> str | None:
     """*text* under *cipher*, if all of it can be converted and something changes."""
-    data = to_bytes(text, cipher[0])
+    return decoded(text, to_bytes(text, cipher[0]), cipher[1])
+
+
+def decoded(text: str, data: bytes | None, written: str) -> str | None:
     if data is None:
         return None
     try:
-        plain = data.decode(cipher[1])
+        plain = data.decode(written)
     except UnicodeDecodeError:
         return None
     return plain if plain != text and not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", plain) else None
@@ -209,23 +213,9 @@ def mentioned(line: str, start: int, end: int) -> bool:
     return end - start <= 6 and bool(before) and before in QUOTES_BEFORE and (after in QUOTES_AFTER if after else before in "：:")
 
 
-def pieces(line: str, read_as: str) -> Iterator[tuple[int, int]]:
+def pieces(line: str, read_as: str) -> list[tuple[int, int]]:
     """Stretches of *line* that the code page can have produced and that hold more than ASCII."""
-    if read_as in PAGES:
-        known = PAGES[read_as]
-        start = None
-        for i, c in enumerate(line + LOST):
-            fits = c < "\x80" or ord(c) in known
-            if fits and start is None:
-                start = i
-            elif not fits and start is not None:
-                if not line[start:i].isascii():
-                    yield start, i
-                start = None
-    else:
-        for m in re.finditer(rf"[^{LOST}]+", line):
-            if not m[0].isascii():
-                yield m.span()
+    return [m.span() for m in STRETCH[read_as].finditer(line) if not m[0].isascii()]
 
 
 class Reading:
@@ -249,14 +239,20 @@ def readings(line: str, model: Bigrams) -> Iterator[Reading]:
         return
     runs = [m.span() for m in NON_ASCII.finditer(line)]
     seen: dict[tuple[int, int, str], None] = {}
+    stretches: dict[str, list[tuple[int, int]]] = {}
+    encoded: dict[tuple[str, int, int], bytes | None] = {}
     for cipher in CIPHERS:
         read_as, written = cipher
-        spans = runs if written == "utf-8" else list(pieces(line, read_as))
+        if written != "utf-8" and read_as not in stretches:
+            stretches[read_as] = pieces(line, read_as)
+        spans = runs if written == "utf-8" else stretches[read_as]
         for start, end in spans:
             text = line[start:end]
             if written == "utf-8" and LOST in text:
                 continue
-            plain = decipher(text, cipher)
+            if (read_as, start, end) not in encoded:
+                encoded[read_as, start, end] = to_bytes(text, read_as)
+            plain = decoded(text, encoded[read_as, start, end], written)
             if plain is None or (start, end, plain) in seen:
                 continue
             if written != "utf-8":  # trim what stays the same, so that only the garbled part is weighed
