@@ -35,13 +35,13 @@ def texts_like(pairs: DataFrame, keys: list[str], part: str) -> DataFrame:
 
 
 def runnable(tasks: DataFrame, needs: DataFrame) -> DataFrame:
-    """Ids of pending tasks all of whose needs are completed; a need that is no task is not.
+    """Ids of pending tasks all of whose needs are completed; a need that is no task is not. Tasks need an id.
 
     ``tasks``: id, status. ``needs``: id, need.
     """
     done = tasks.where("status = 'completed'").select(F.col("id").alias("need"))
     waiting = needs.where("need is not null").join(done, "need", "left_anti").select("id")
-    return tasks.where("status = 'pending'").select("id").join(waiting, "id", "left_anti")
+    return tasks.where("status = 'pending' and id is not null").select("id").distinct().join(waiting, "id", "left_anti")
 
 
 class Field:
@@ -65,15 +65,15 @@ def violations(rows: DataFrame, key: str, contract: list[Field]) -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str) -> DataFrame:
-    """``user_id, begin, finish, events``: runs of a user's events with no pause of *gap* or longer."""
+    """``user_id, begin, finish, events``: runs of a user's events with no pause of *gap* or longer. Events without a time are in none."""
     s = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.min("ts").alias("begin"), F.max("ts").alias("finish"))
     return s.select("user_id", "begin", "finish", "events")
 
 
-def seconds_to_next(events: DataFrame, key: str, at: str, ident: str) -> DataFrame:
-    """Seconds from each event to the next of its key; null for the last."""
-    e = over_previous(events.select(key, at, ident), [key], [F.col(at).desc(), F.col(ident).desc()], 1, {"following": lambda w: F.lag(at).over(w)})
-    return e.select(ident, ((F.unix_millis(F.col("following").cast("timestamp")) - F.unix_millis(F.col(at).cast("timestamp"))) / 1000).alias("seconds"))
+def seconds_to_next(events: DataFrame, key: str, at: str, ident: str, *keep: str) -> DataFrame:
+    """Seconds from each event to the next of its key; null for the last. Events without a time come first."""
+    e = over_previous(events.select(key, at, ident, *keep), [key], [F.col(at).desc(), F.col(ident).desc()], 1, {"following": lambda w: F.lag(at).over(w)})
+    return e.select(ident, *keep, ((F.unix_millis(F.col("following").cast("timestamp")) - F.unix_millis(F.col(at).cast("timestamp"))) / 1000).alias("seconds"))
 
 
 def first_category(value: Column, patterns: list[tuple[str, str]], otherwise: str = "other") -> Column:

@@ -56,8 +56,7 @@ def sessions(spark, folder):
 
 def pauses(spark, folder):
     """Seconds to the next event of the user, summed by type."""
-    e = table(spark, folder, "events")
-    p = filters.seconds_to_next(e, "user_id", "ts", "event_id").join(e.select("event_id", "event_type"), "event_id")
+    p = filters.seconds_to_next(table(spark, folder, "events"), "user_id", "ts", "event_id", "event_type")
     return p.groupBy("event_type").agg(F.count("seconds").alias("pauses"), F.round(F.avg("seconds"), 2).alias("seconds"))
 
 
