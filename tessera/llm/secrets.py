@@ -191,7 +191,7 @@ DETECTORS = (
     Detector("address_parameter", re.compile(r"[?&](?:api_?key|access_?key|key|sig|signature|access_token|auth_token|token|secret|password|passwd|pwd)=(?P<v>[A-Za-z0-9_~+/%.-]{12,})", re.I), _parameter),
     Detector(
         "named_literal",
-        re.compile(r"""(?P<name>[\w.-]*(?:pass|pwd|secret|token|key|credential|login)[\w-]*)["']?\]?\s*(?::\s*[A-Za-z?<>\[\]| ]{1,30})?(?:=|:|=>|,|\|\||\?\?)\s*r?(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)""", re.I),
+        re.compile(r"""(?<![\w.-])(?P<name>[\w.-]*(?:pass|pwd|secret|token|key|credential|login)[\w-]*)["']?\]?\s*(?::\s*[A-Za-z?<>\[\]| ]{1,30})?(?:=|:|=>|,|\|\||\?\?)\s*r?(?P<q>["'`])(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)""", re.I),
         _named,
     ),
     Detector("named_setting", re.compile(r"^[ \t-]*(?:export )?(?P<name>[\w.-]*(?:pass|pwd|secret|token|key|credential|login)[\w-]*)[ \t]*[:=][ \t]*(?P<v>[^\s\"'`][^\n\"'`]*?)[ \t\r]*$", re.I | re.M), _named),
