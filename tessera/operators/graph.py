@@ -57,20 +57,15 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     ``start``: column origin. Breadth first: each round joins the frontier to the edges and
     keeps what no earlier round reached.
     """
-    e = known(edges)
-    reached = start.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth")).distinct()
-    frontier = reached
+    e = checkpoint(known(edges))
+    frontier = checkpoint(start.select("origin", F.col("origin").alias("id"), F.lit(0).alias("depth")).where("id is not null").distinct())
+    reached = frontier
     for depth in range(1, most + 1):
         found = frontier.join(e, frontier["id"] == e["src"]).select("origin", F.col("dst").alias("id")).distinct()
-        fresh = found.join(reached.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("depth", F.lit(depth))
-        if depth % 4 == 0:
-            fresh = checkpoint(fresh)
-            if fresh.isEmpty():
-                break
-        reached = reached.unionByName(fresh)
-        if depth % 4 == 0:
-            reached = checkpoint(reached)
-        frontier = fresh
+        frontier = checkpoint(found.join(reached.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
     return reached
 
 

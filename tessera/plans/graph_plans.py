@@ -10,8 +10,6 @@ from tessera.sources.tables import table
 
 NEXT = """(WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem),
     r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY l_orderkey, l_linenumber, dst) AS k FROM p WHERE dst IS NOT NULL AND src <> dst) SELECT src, dst FROM r WHERE k = 1)"""
-#: Origins of the searches below.
-FEW = "src % 50 = 1"
 
 
 def _next(spark, folder):
@@ -52,16 +50,16 @@ def dependency_layers(spark, folder):
 
 
 def reachability(spark, folder):
-    """Parts reached from every 50th part within 8 steps."""
+    """Parts reached from each part within 8 steps."""
     e = _next(spark, folder)
-    start = e.where(FEW).select(F.col("src").alias("origin"))
+    start = e.select(F.col("src").alias("origin"))
     return graph.distances(e, start, 8).groupBy("origin").agg(F.count("*").alias("reached"), F.max("depth").alias("depth"))
 
 
 def dependency_tree(spark, folder):
-    """Parents within the tree below every 50th part, to depth 6."""
+    """Parents within the tree below each part, to depth 6."""
     e = _next(spark, folder)
-    p = graph.simple_paths(e, e.where(FEW).select(F.col("src").alias("origin")), 6)
+    p = graph.simple_paths(e, e.select(F.col("src").alias("origin")), 6)
     return p.where(F.size("path") > 1).select("origin", F.element_at("path", -1).alias("id"), F.element_at("path", -2).alias("parent"), (F.size("path") - 1).alias("depth"))
 
 
@@ -253,8 +251,8 @@ SQL = {
     "entry_points": f"SELECT p_partkey AS id, CASE WHEN p_retailprice < 950 THEN 'exported' ELSE 'no-callers' END AS reason FROM part WHERE p_retailprice < 950 OR p_partkey NOT IN (SELECT dst FROM {NEXT})",
     "dependency_depth": f"{_search(_ENTRIES, 12)} SELECT id, min(depth) AS depth FROM b GROUP BY id",
     "dependency_layers": f"{_search(_ENTRIES, 12)} SELECT depth, count(*) AS vertices FROM (SELECT id, min(depth) AS depth FROM b GROUP BY id) GROUP BY depth",
-    "reachability": f"{_search(f'SELECT src AS origin FROM e WHERE {FEW}', 8)} SELECT origin, count(*) AS reached, max(depth) AS depth FROM b GROUP BY origin",
-    "dependency_tree": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {NEXT}), p(origin, path) AS (SELECT src, [src] FROM e WHERE {FEW} UNION ALL SELECT origin, list_append(path, dst) FROM p JOIN e ON path[-1] = e.src WHERE NOT list_contains(path, dst) AND len(path) <= 6)
+    "reachability": f"{_search(f'SELECT src AS origin FROM e', 8)} SELECT origin, count(*) AS reached, max(depth) AS depth FROM b GROUP BY origin",
+    "dependency_tree": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {NEXT}), p(origin, path) AS (SELECT src, [src] FROM e UNION ALL SELECT origin, list_append(path, dst) FROM p JOIN e ON path[-1] = e.src WHERE NOT list_contains(path, dst) AND len(path) <= 6)
         SELECT origin, path[-1] AS id, path[-2] AS parent, len(path) - 1 AS depth FROM p WHERE len(path) > 1""",
     "transitive_callees": f"{_CLOSURE} SELECT src, count(*) AS callees, max(depth) AS depth FROM c GROUP BY src",
     "transitive_callers": f"{_CLOSURE} SELECT dst, count(*) AS callers, max(depth) AS depth FROM c GROUP BY dst",
