@@ -62,10 +62,15 @@ NOTICE = re.compile(
     | \bdo\ not\ (?:edit|modify|change|touch)\b.*\b(?:generated|overwritten|regenerated)\b
     | 自动生成.*(?:请勿|不要|切勿|勿).*(?:修改|编辑|改动) | (?:由|通过|使用).{0,12}自动生成"""
 )
+#: Words of which every notice holds one.
+TOLD = re.compile(r"(?i)generated|produced|created|written|built|compiled|自动生成")
 LICENSE = re.compile(r"(?i)licen[sc]e|copyright|\(c\)|all rights reserved|SPDX|authors|contributors")
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
 LITERAL = re.compile(r"""\"\"\"[\s\S]*?(?:\"\"\"|$)|'''[\s\S]*?(?:'''|$)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`""")
 COMMENTS = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|(?m:^\s*#[^\n]*)|<!--[\s\S]*?(?:-->|$)")
+SPANS = re.compile(rf"(?P<c>{COMMENTS.pattern})|{LITERAL.pattern}")
+#: Lines that may stand above or between the comments at the head of a file.
+PROLOGUE = re.compile(r"""\s*(?:$|#!|["']use \w+["'];?\s*$|(?:import|from|package|library|export|part)\b|(?:const|let|var)\s.*\brequire\(|[;!+(]*function\s*\(|<(?:template|script|style)\b)""")
 
 
 def extension(path: str) -> str:
@@ -154,27 +159,53 @@ class NameModel:
         return bits / n if n else 0.0
 
 
+def comment_lines(text: str) -> list[tuple[int, str]]:
+    """Place and words of every line of comment of the whole text; text within literals is none."""
+    literal, block = [], []
+    for m in SPANS.finditer(text):
+        if "\n" in m[0]:
+            (block if m["c"] and m[0].endswith(("*/", "-->")) else literal if not m["c"] else []).append(m.span())
+    out, at, k, j = [], 0, 0, 0
+    for line in text.split("\n"):
+        while k < len(literal) and literal[k][1] <= at:
+            k += 1
+        while j < len(block) and block[j][1] <= at:
+            j += 1
+        if not (k < len(literal) and literal[k][0] < at):
+            m = COMMENT.match(line)
+            if m:
+                out.append((at, m[1]))
+            elif j < len(block) and block[j][0] < at:
+                out.append((at, line[: block[j][1] - at].strip()))
+        at += len(line) + 1
+    return out
+
+
 def has_notice(text: str) -> bool:
-    """Whether a comment at the head or foot of the file says that a tool wrote it."""
-    head, tail = text[:6000].split("\n")[:40], text[-1500:].split("\n")[-8:] if len(text) > 6000 else []
-    inside = False
-    lines = head + tail if len(text) > 6000 else text.split("\n")
-    lines = lines if len(lines) <= 48 else lines[:40] + lines[-8:]
-    for line in lines:
-        m = COMMENT.match(line)
-        if m and not inside and NOTICE.search(m[1]):
-            return True
-        if sum(line.count(q) for q in ("`", '"""', "'''")) % 2:
-            inside = not inside
-    return False
+    """Whether a comment anywhere in the file says that a tool wrote it."""
+    return bool(TOLD.search(text)) and any(NOTICE.search(words) for _, words in comment_lines(text))
 
 
 def names_library(path: str, text: str) -> bool:
-    """Whether the licence notice at the head names the file itself: its stem or folder."""
+    """Whether the licence notice above the code names the file itself: its stem or folder."""
     stem = path.rsplit("/", 1)[-1].split(".", 1)[0].lower()
-    head = [m[1] for line in text[:2000].split("\n")[:12] if (m := COMMENT.match(line))]
+    if len(stem) <= 2 or not LICENSE.search(text):
+        return False
+    comments = dict(comment_lines(text))
+    head, at = [], 0
+    for line in text.split("\n"):
+        if at in comments:
+            head.append(comments[at])
+        elif not PROLOGUE.match(line):
+            break
+        at += len(line) + 1
     joined = " ".join(head).lower()
-    return len(stem) > 2 and bool(LICENSE.search(joined)) and bool(re.search(rf"(?<![\w-]){re.escape(stem)}(?![\w-])", joined)) and bool(re.search(r"\d+\.\d+|(?:19|20)\d\d", joined))
+    return bool(LICENSE.search(joined)) and bool(re.search(rf"(?<![\w-]){re.escape(stem)}(?![\w-])", joined)) and bool(re.search(r"\d+\.\d+|(?:19|20)\d\d", joined))
+
+
+def is_lock(ext: str, text: str) -> bool:
+    """Whether a settings file has a lockfileVersion, wherever it stands."""
+    return ext in ("json", "yaml", "yml") and bool(re.search(r'"lockfileVersion"\s*:|^lockfileVersion\s*:', text, re.M))
 
 
 def collapsed(text: str) -> bool:
@@ -221,7 +252,7 @@ def verdict(path: str, text: str, model: NameModel) -> tuple[str, float]:
         words = names(text)
         if len(words) >= LEAST_NAMES and model.average.get(ext):
             ratio = model.cross_entropy(ext, words) / model.average[ext]
-    if LOCK_FILES.search(path) or ext in ("json", "yaml", "yml") and re.search(r'"?lockfileVersion"?\s*:', text[:2000]):
+    if LOCK_FILES.search(path) or is_lock(ext, text):
         return "lock file", ratio
     if text and has_notice(text) or GENERATED_NAME.search(path) or GENERATED_FOLDER.search(path):
         return "generated", ratio

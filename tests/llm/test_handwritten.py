@@ -33,3 +33,17 @@ def test_nulls_empty_and_long(spark):
 def test_names():
     assert H.stem_style("a/b/my_file.js") != H.stem_style("a/b/myFile.js")
     assert "openDrawer" in H.names(CODE)
+
+
+def test_notices_at_any_depth():
+    """p3: notices and licences below long headers, and lockfileVersion behind a long start."""
+    licence = "".join(f"// Permission line {i} of the licence.\n" for i in range(120))
+    imports = "".join(f"import {{ part{i} }} from './part{i}.js';\n" for i in range(300))
+    assert H.has_notice(licence + imports + "// Code generated by modelgen. DO NOT EDIT.\n" + CODE * 60)
+    assert H.has_notice(CODE * 60 + "/*\n  This file was generated by modelgen\n*/\n" + CODE * 60)
+    assert not H.has_notice(CODE * 60 + "const head = `\n// Code generated by modelgen. DO NOT EDIT.\n`;\n" + CODE * 60)
+    assert not H.has_notice(CODE * 60 + "// Items are written by the drawer.\n" + CODE)
+    assert H.names_library("src/tinyslide.js", licence + "// tinyslide 2.4.1, copyright its authors\n" + CODE)
+    assert not H.names_library("src/tinyslide.js", CODE + licence + "// tinyslide 2.4.1, copyright its authors\n")
+    packages = "".join(f'  "package{i}": "1.0.{i}",\n' for i in range(500))
+    assert H.verdict("deps/tree.json", "{\n" + packages + '  "lockfileVersion": 3\n}', H.NameModel({}))[0] == "lock file"
