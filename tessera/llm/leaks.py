@@ -5,7 +5,8 @@ normalised words are numbered, and the suffixes that can begin a match are sorte
 doubling. Every suffix of every item is then looked up by binary search, which yields all
 verbatim matches and their places. Matches are chained over single changed, missing or added
 words; a chain of at least ``WORDS`` words of the item (``LETTERS`` letters for items in
-Chinese script) with no more than one edit in ten is a leak.
+Chinese script) with no more than one edit in ten words is a leak. Edits may stand anywhere
+within the span, also side by side or next to its first or last word.
 
 Letter case, punctuation, spacing, line layout, line prefixes, character width, invisible
 characters and escapes are normalised away on both sides.
@@ -35,8 +36,8 @@ from tessera.session import spread
 WORDS, LETTERS, WORD_SEED, LETTER_SEED = 12, 24, 6, 10
 #: One edit is allowed in so many words, or letters of Chinese, where a word has about two.
 WORDS_AN_EDIT, LETTERS_AN_EDIT = 10, 20
-#: Tokens that must agree after an edit.
-BETWEEN = 3
+#: Tokens that one edit may change, add or leave out: a word, which in Chinese has up to two letters.
+WORD_UNIT, LETTER_UNIT = 1, 2
 #: Characters of items that are sent to every task at once.
 MOST_ITEM_CHARS = 8_000_000
 
@@ -44,6 +45,7 @@ HAN = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 WORD = re.compile(rf"[{HAN}\u3040-\u30ff]|[^\W_{HAN}\u3040-\u30ff]+")
 LETTER = re.compile(r"[^\W_]")
+HAN_LETTER = re.compile(f"[{HAN}]")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}){2,}")
 
 
@@ -69,6 +71,11 @@ def normal(text: str) -> str:
     return unicodedata.normalize("NFKC", INVISIBLE.sub("", text)).lower()
 
 
+def _han(text: str) -> list[bool]:
+    """Which of the letters of *text* are Chinese characters."""
+    return [bool(HAN_LETTER.match(c)) for c in LETTER.findall(text)]
+
+
 def is_chinese(text: str) -> bool:
     """Whether an item is measured in letters: most of its letters are Chinese characters, none Japanese syllables."""
     han = len(re.findall(f"[{HAN}]", text))
@@ -131,7 +138,7 @@ class Shard:
         return np.repeat(own, n), self.suffixes[np.repeat(low, n) + offsets]
 
 
-def _run(item: np.ndarray, text: np.ndarray, i: int, j: int, step: int) -> int:
+def _run(item: list[int], text: list[int], i: int, j: int, step: int) -> int:
     """Tokens that agree from (i, j) in direction *step*."""
     n = 0
     while 0 <= i < len(item) and 0 <= j < len(text) and item[i] == text[j]:
@@ -139,43 +146,62 @@ def _run(item: np.ndarray, text: np.ndarray, i: int, j: int, step: int) -> int:
     return n
 
 
-def _reach(item: np.ndarray, text: np.ndarray, i: int, j: int, step: int, edits: int) -> list[int]:
+def _reach(item: list[int], text: list[int], i: int, j: int, step: int, edits: int, unit: int, apart: int = 0, han: tuple[list[bool], list[bool]] = ((), ())) -> list[int]:
     """Most item tokens spanned from (i, j) in direction *step* with 0, 1, ... *edits* edits.
 
-    The tokens from (i, j) on follow a verbatim run, so every edit must be followed by
-    ``BETWEEN`` agreeing tokens to count.
+    Edit distance by diagonals: of each number of edits and each shift of the text against the
+    item, the furthest place is kept. An edit replaces up to *unit* tokens by up to *unit* others; more than
+    one only where all of them are *han*, Chinese characters of the item and of the text.
+    Edits may follow each other, unless *apart* tokens must agree between two of them; the last
+    one must be followed by *unit* agreeing tokens, else the span ends before it.
     """
+    moves = [(da, db) for da in range(unit + 1) for db in range(unit + 1) if da or db]
     best = [0] * (edits + 1)
-    frontier = [(i, j)]
+    starts = {(0, 0)}
     for e in range(edits + 1):
-        ends = []
-        for a, b in frontier:
-            n = _run(item, text, a, b, step)
-            if e and n < BETWEEN:
-                continue
-            a, b = a + step * n, b + step * n
-            best[e] = max(best[e], (a - i) * step)
-            ends.append((a, b))
-        frontier = [(a + step * da, b + step * db) for a, b in ends for da, db in ((1, 1), (0, 1), (1, 0))]
+        furthest: dict[int, int] = {}
+        for x, y in starts:
+            n = _run(item, text, i + step * x, j + step * y, step)
+            if not e or n >= unit:
+                best[e] = max(best[e], x + n)
+            if not e or n >= apart:
+                furthest[y - x] = max(furthest.get(y - x, 0), x + n)
+        starts = set()
+        for d, x in furthest.items():
+            for da, db in moves:
+                p, q = i + step * x, j + step * (x + d)
+                if not (0 <= p + step * (da - 1) < len(item) and 0 <= q + step * (db - 1) < len(text)):
+                    continue
+                if max(da, db) == 1 or all(han[0][p + step * k] for k in range(da)) and all(han[1][q + step * k] for k in range(db)):
+                    starts.add((x + da, x + d + db))
+        if not starts:
+            break
     return [max(best[: e + 1]) for e in range(edits + 1)]
 
 
-def leak_length(item: np.ndarray, text: np.ndarray, seeds: list[tuple[int, int]], least: int, an_edit: int) -> tuple[int, int]:
-    """Longest span of item tokens in *text* with at most one edit in *an_edit*, and its edits; 0 if too short."""
-    best, done = (0, 0), set()
+def leak_length(item: list[int], text: list[int], seeds: list[tuple[int, int]], least: int, an_edit: int, unit: int = 1, han: tuple[list[bool], list[bool]] = ((), ())) -> tuple[int, int]:
+    """Longest span of item tokens in *text* and its edits; 0 if too short.
+
+    A span may hold one edit in *an_edit* of its tokens, or as many as leave at most one in any
+    *an_edit* tokens in a row.
+    """
+    best, done, most = (0, 0), set(), len(item) // an_edit + 1
     for i, j in sorted(seeds):
         if (i, j) in done:
             continue
         n = _run(item, text, i, j, 1)
         done.update((i + k, j + k) for k in range(n))
-        most = max(1, len(item) // an_edit)
-        ahead = _reach(item, text, i + n, j + n, 1, min(most, 4))
-        behind = _reach(item, text, i - 1, j - 1, -1, min(most, 4))
-        for a, right in enumerate(ahead):
-            for b, left in enumerate(behind):
-                span = n + right + left
-                if span >= least and (a + b) * an_edit <= span and span > best[0]:
-                    best = (span, a + b)
+        for apart in (0, an_edit - unit):
+            if best == (len(item), 0):
+                break
+            ahead = _reach(item, text, i + n, j + n, 1, most, unit, apart, han)
+            behind = _reach(item, text, i - 1, j - 1, -1, most, unit, apart, han)
+            for a, right in enumerate(ahead):
+                for b, left in enumerate(behind):
+                    span = n + right + left
+                    few = not (a and b) or n >= apart if apart else (a + b) * an_edit <= span
+                    if span >= least and few and span > best[0]:
+                        best = (span, a + b)
     return best
 
 
@@ -184,8 +210,10 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.sides = []
+        texts = [(k, normal(t)) for k, t in rows if t]
+        self.han = {k: _han(t) for k, t in texts if is_chinese(t)}
         for chinese in (False, True):
-            own = [(k, normal(t)) for k, t in rows if t and is_chinese(normal(t)) == chinese]
+            own = [(k, t) for k, t in texts if is_chinese(t) == chinese]
             units = LETTER if chinese else WORD
             vocabulary: dict[str, int] = {}
             items = {k: np.array([vocabulary.setdefault(w, len(vocabulary)) for w in units.findall(t)], dtype=np.int32) for k, t in own}
@@ -213,8 +241,12 @@ class Items:
             for q, o, a in zip(own.tolist(), owner.tolist(), at.tolist(), strict=True):
                 k = int(ids[q])
                 pairs.setdefault((o, k), []).append((q - int(start[k]), a - int(begin[o])))
-            for (o, k), seeds in pairs.items():
-                span, edits = leak_length(items[k], numbered[o], seeds, *((LETTERS, LETTERS_AN_EDIT) if chinese else (WORDS, WORDS_AN_EDIT)))
+            lists: dict[int, tuple[list[int], list[bool]]] = {}
+            for (o, k), seeds in sorted(pairs.items()):
+                if o not in lists:
+                    lists = {o: (numbered[o].tolist(), [*_han(plain[chosen[o]]), False] if chinese else [])}
+                words, flags = lists[o]
+                span, edits = leak_length(items[k].tolist(), words, seeds, *((LETTERS, LETTERS_AN_EDIT, LETTER_UNIT) if chinese else (WORDS, WORDS_AN_EDIT, WORD_UNIT)), han=(self.han.get(k, []), flags))
                 if span:
                     yield chosen[o], k, span, edits, chinese
 

@@ -59,3 +59,28 @@ def test_tables(spark):
 def test_normal_forms():
     assert L.normal("Caf\u00e9 BAR") == L.normal("cafe\u0301 bar")
     assert L.is_chinese("这是一个测试文本") and not L.is_chinese("plain text")
+
+
+def found(item, doc):
+    return list(L.Items([(1, item)]).find([doc]))
+
+
+def test_edits_near_the_ends_and_of_whole_chinese_words():
+    rng = random.Random(8)
+    for changed in ([2], [3], [6], [10], [11], []):
+        words = rng.sample(WORDS, 12)
+        doc = [w if k not in changed else "changed" for k, w in enumerate(words, 1)]
+        assert [f[2:4] for f in found(" ".join(words), "x y z " + " ".join(doc) + " x y z")] == [(12, len(changed))]
+    words = rng.sample(WORDS, 16)
+    assert found(" ".join(words), " ".join(w if k not in (3, 14) else "changed" for k, w in enumerate(words, 1)))
+    words = rng.sample(WORDS, 30)  # side by side, two in thirty
+    assert found(" ".join(words), " ".join(w if k not in (8, 9) else "changed" for k, w in enumerate(words, 1)))[0][2] == 30
+    for changed in ([1], [12], [6, 7], [2, 11], [4, 9]):  # eleven words or fewer, or two edits in ten
+        words = rng.sample(WORDS, 12)
+        assert not found(" ".join(words), " ".join(w if k not in changed else "changed" for k, w in enumerate(words, 1)))
+    letters = "".join(chr(0x4E00 + k) for k in rng.sample(range(5000), 30))
+    for put in ("\u9f98\u9f99", "\u9f98", ""):  # a word of two letters replaced, shortened, left out
+        assert [f[2:4] for f in found(letters, letters[:14] + put + letters[16:])] == [(30, 1)]
+    number = letters[:12] + "81" + letters[12:22]  # two digits are two edits
+    assert not found(number, number.replace("81", "6"))
+    assert not found(letters, letters[:14] + "\u9f98\u9f99\u9f9a\u9f9b" + letters[18:22])
