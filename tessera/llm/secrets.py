@@ -63,6 +63,10 @@ UUID = re.compile(r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 HEX = re.compile(r"(?i)^[0-9a-f]+$")
 
 
+#: Letters of a value from which on only a telling name makes it a secret: without one it may be data.
+LONG = 128
+
+
 def entropy(text: str) -> float:
     """Bits per character of the letters of *text*."""
     n = len(text)
@@ -71,7 +75,7 @@ def entropy(text: str) -> float:
 
 def opaque(value: str) -> bool:
     """A long random token: letters of both cases and digits, evenly used and often alternating."""
-    if not 32 <= len(value) <= 128 or PLACEHOLDER.search(value) or UUID.match(value) or HEX.match(value):
+    if len(value) < 32 or PLACEHOLDER.search(value) or UUID.match(value) or HEX.match(value):
         return False
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
     if not {"d", "u", "l"} <= set(kinds):
@@ -82,7 +86,7 @@ def opaque(value: str) -> bool:
 
 def guessable(value: str) -> bool:
     """What people use as a password: no blanks, at least 6 letters, more than plain words."""
-    if not 6 <= len(value) <= 128 or re.search(r"[\s/\\(){}<>,;]|://", value) and not opaque(value) or PLACEHOLDER.search(value):
+    if len(value) < 6 or len(value) > LONG and entropy(value) < 3.7 or re.search(r"[\s/\\(){}<>,;]|://", value) and not opaque(value) or PLACEHOLDER.search(value):
         return False
     words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", value)
     jumbled = len(value) >= 10 and len(value) / max(1, len(words)) < 3.2
@@ -148,15 +152,31 @@ NAME_BEFORE = re.compile(r"""([\w.\-]+)["']?\s*(?::\s*[A-Za-z<>\[\]]+\s*)?(?:=>|
 def _opaque_literal(m: re.Match) -> list[tuple[int, int]]:
     if not opaque(m["v"]):
         return []
-    line = m.string.rfind("\n", 0, m.start()) + 1
-    name = NAME_BEFORE.search(m.string[max(line, m.start() - 80) : m.start()])
-    return [] if name and BENIGN.search(name[1]) and not STRONG.search(name[1]) else [m.span("v")]
+    name = _name_before(m.string, m.start("v") - ("q" in m.re.groupindex))
+    if len(m["v"]) > LONG and not STRONG.search(name):
+        return []
+    return [] if BENIGN.search(name) and not STRONG.search(name) else [m.span("v")]
 
 
-def _opaque_comment(m: re.Match) -> list[tuple[int, int]]:
-    return [m.span("v")] if opaque(m["v"]) and re.search(r"\w", m["lead"]) and not BENIGN.search(m["lead"]) else []
+def _name_before(text: str, at: int) -> str:
+    """The name to which the value at *at* is given on its line, or ""."""
+    name = NAME_BEFORE.search(text[max(text.rfind("\n", 0, at) + 1, at - 80) : at])
+    return name[1] if name else ""
 
 
+def _opaque_comment(m: re.Match) -> list[tuple[int, int]]:
+    """Every token of the comment line, each judged by the words since the token before it."""
+    end = m.string.find("\n", m.end())
+    out, lead, at = [], "", m.start("lead")
+    for t in RUN.finditer(m.string, m.start("v"), end if end >= 0 else len(m.string)):
+        between = m.string[at : t.start("v")]
+        lead, at = between if re.search(r"\w", between) else lead, t.end()
+        if opaque(t["v"]) and re.search(r"\w", lead) and not BENIGN.search(lead) and (len(t["v"]) <= LONG or STRONG.search(lead)):
+            out.append(t.span("v"))
+    return out
+
+
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])(?P<v>[A-Za-z0-9+/_-]{32,}={0,2})(?![A-Za-z0-9+/_=.-])")
 PART = re.compile(r"""(?P<q>["'`])(?P<v>[A-Za-z0-9+/=_.\-]{4,})(?P=q)""")
 
 
@@ -166,6 +186,8 @@ def _joined(m: re.Match) -> list[tuple[int, int]]:
     value = "".join(p["v"] for p in parts)
     if len(parts) < 2 or not (opaque(value) or any(d.shape.fullmatch(value) and d.accept(d.shape.fullmatch(value)) for d in DETECTORS if d.alone)):
         return []
+    if len(value) > LONG and not STRONG.search(re.sub(r"[\s(\[\\]+$", "", m.string[max(0, m.start() - 80) : m.start()]).rsplit("\n", 1)[-1]):
+        return []
     return [p.span("v") for p in parts]
 
 
@@ -174,6 +196,7 @@ class Detector(NamedTuple):
     shape: re.Pattern
     accept: Callable[[re.Match], list[tuple[int, int]]]
     alone: bool = False  # the shape is that of a whole value
+    many: bool = False  # every span is a value of its own
 
 
 _LITERAL = r"""(?P<q>["'`])"""
@@ -197,12 +220,13 @@ DETECTORS = (
     Detector("named_setting", re.compile(r"^[ \t-]*(?:export )?(?P<name>[\w.-]*(?:pass|pwd|secret|token|key|credential|login)[\w-]*)[ \t]*[:=][ \t]*(?P<v>[^\s\"'`][^\n\"'`]*?)[ \t\r]*$", re.I | re.M), _named),
     Detector("opaque_literal", re.compile(r"""(?P<q>["'`])(?P<v>[A-Za-z0-9+/_-]{32,}={0,2})(?P=q)"""), _opaque_literal),
     Detector("opaque_setting", re.compile(r"^[ \t]*(?:-[ \t]+|[\w.-]+[ \t]*[:=][ \t]*)(?P<v>[A-Za-z0-9+/_-]{32,}={0,2})[ \t\r]*$", re.M), _opaque_literal),
-    Detector("opaque_comment", re.compile(r"^[ \t]*(?://+|#+|\*|/\*+|<!--|--)(?P<lead>[^\n]*?)(?<![A-Za-z0-9+/_.-])(?P<v>[A-Za-z0-9+/_-]{32,}={0,2})(?![A-Za-z0-9+/_=.-])", re.M), _opaque_comment),
+    Detector("opaque_comment", re.compile(r"^[ \t]*(?://+|#+|\*|/\*+|<!--|--)(?P<lead>[^\n]*?)(?<![A-Za-z0-9+/_.-])(?P<v>[A-Za-z0-9+/_-]{32,}={0,2})(?![A-Za-z0-9+/_=.-])", re.M), _opaque_comment, many=True),
     Detector("joined_literals", re.compile(r"""(?P<q>["'`])[A-Za-z0-9+/=_.-]{4,}(?P=q)(?:(?: \+|\+| \\)?(?:[ \t]*\r?\n)?[ \t]*(?P=q)[A-Za-z0-9+/=_.-]{4,}(?P=q))+|(?P<p>["'`])[A-Za-z0-9+/=_.-]{4,}(?P=p) \+ (?P=p)[A-Za-z0-9+/=_.-]{4,}(?P=p)"""), _joined),
 )
 PLANS = {d.name: required(d.shape.pattern) for d in DETECTORS}
-# Quotes that meet over "+" or a line end are the only letters that joined literals share.
-PLANS["joined_literals"] = frozenset(map(frozenset, ([f"{q}{gap}"] for q in "\"'`" for gap in (" +", "\n ", "\r\n", "+" + q, " " + q))))
+# What can follow the quote that ends the first of two joined literals, each way the expression lets them meet.
+GAPS = ("+", " +", " \\", "\t", "\r\n", *("\n" + c for c in " \t"), *(" " + c for c in " \t\r\n"))
+PLANS["joined_literals"] = frozenset(frozenset([q + gap]) for q in "\"'`" for gap in (*GAPS, q, "\n" + q, " " + q))
 
 
 def chunks(text: str) -> Iterator[tuple[int, int]]:
@@ -227,8 +251,9 @@ def scan(texts: list[str]) -> Iterator[tuple[int, list[Hit]]]:
             n, lo, hi = pieces[k]
             for m in d.shape.finditer(texts[n], max(0, lo - BEYOND), min(len(texts[n]), hi + BEYOND)):
                 spans = d.accept(m)
-                if spans and lo <= spans[0][0] < hi:
-                    raw.setdefault(n, []).append((len(spans) == 1, spans[0][0], spans, d.name))
+                for own in [[x] for x in spans] if d.many else [spans] if spans else []:
+                    if lo <= (m.start() if d.many else own[0][0]) < hi:
+                        raw.setdefault(n, []).append((len(own) == 1, own[0][0], own, d.name))
     for n, found in sorted(raw.items()):
         taken: list[Hit] = []
         for _, _, spans, kind in sorted(found, key=lambda x: (x[0], x[1], -x[2][0][1])):  # joined values claim their parts first

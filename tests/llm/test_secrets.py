@@ -66,3 +66,26 @@ def test_findings_with_nulls_repeats_and_clashing_columns(spark):
     out = secrets.findings(df, "file", "file_id", "content").select("rec_id", "line_no").distinct().collect()
     assert [tuple(r) for r in out] == [(1, 1)]
     assert secrets.findings(df.limit(0), "file", "file_id", "content").count() == 0
+
+
+def test_joined_literals_however_they_meet():
+    """No spelling that the expression takes is lost by the index, whatever else the text holds."""
+    joined = next(d for d in secrets.DETECTORS if d.name == "joined_literals").shape
+    a, b = TOKEN[:20], TOKEN[20:]
+    for q in "\"'`":
+        for plus in ("", " +", "+", " \\"):
+            for end in ("", "\n", "\r\n", " \n", "\t\r\n", "  \n"):
+                for blank in ("", " ", "\t", "  "):
+                    text = f"k = {q}{a}{q}{plus}{end}{blank}{q}{b}{q}\n"
+                    if joined.search(text):
+                        assert any(all(g in text for g in alt) for alt in secrets.PLANS["joined_literals"]), text
+                        assert lines(text)[:1] == [1], text
+
+
+def test_long_values_by_entropy_and_name():
+    import random
+
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    long = "".join(random.Random(2).choices(letters, k=200))
+    assert lines(f'client_secret = "{long}"') == [1]
+    assert not lines(f'const rows = "{long}"') and not lines('client_secret = "' + "a1" * 100 + '"')
