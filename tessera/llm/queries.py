@@ -23,6 +23,11 @@ def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.redacted(table(spark, folder, "files"), "file_id", "content")
 
 
+def p1_redacted_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every saved provider setting with secrets, the secrets masked."""
+    return secrets.redacted_settings(table(spark, folder, "provider_config"))
+
+
 def p1_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Findings and affected records by place and kind of secret."""
     found = secrets.all_findings(table(spark, folder, "files"), table(spark, folder, "provider_config")).distinct()
@@ -104,7 +109,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p1_kinds, p2_found, p2_pieces, p3_found, p3_kinds, p5_found, p5_faults, p5_rates, p6_found, p6_documents, p6_items, p7_mixture, p7_shares, p8_found, p8_restored)
+    for f in (p1_found, p1_redacted, p1_redacted_settings, p1_kinds, p2_found, p2_pieces, p3_found, p3_kinds, p5_found, p5_faults, p5_rates, p6_found, p6_documents, p6_items, p7_mixture, p7_shares, p8_found, p8_restored)
 }
 
 SQL: dict[str, str] = {

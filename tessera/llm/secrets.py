@@ -314,6 +314,39 @@ def field_value(value: str) -> str:
     return value.strip().strip("\"'`").strip().replace("'", "\u2019").replace("\n", " ")
 
 
+def redacted_field(value: str, field: str) -> tuple[int, str]:
+    """Number of secrets in a settings value, and the value with them masked; what strayed around it stays."""
+    head, core = f"{field} = '", field_value(value)
+    before = len(value) - len(value.lstrip())
+    before += len(value[before:]) - len(value[before:].lstrip("\"'`"))
+    before += len(value[before:]) - len(value[before:].lstrip())
+    for _, hits in scan([head + core + "'"]):
+        own = [Hit(max(0, h.start - len(head)) + before, min(len(core), h.end - len(head)) + before, h.kind) for h in hits if h.end > len(head)]
+        return sum(bool(h.kind) for h in own), redact(value, own)
+    return 0, value
+
+
+#: The settings columns that can hold secrets, with the names of their values.
+FIELDS = (("api_key", "apiKey"), ("api_endpoint", "apiEndpoint"))
+
+
+def redacted_settings(settings: DataFrame) -> DataFrame:
+    """``place, config_id, n_secrets, text`` for every settings value that holds a secret, the secret masked in *text*."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for column, field in FIELDS:
+                for i, v in zip(batch["config_id"].tolist(), batch[column].tolist(), strict=True):
+                    n, text = redacted_field(v, field) if v else (0, "")
+                    if n:
+                        out.append((f"provider_config.{column}", i, n, text))
+            yield pd.DataFrame(out, columns=["place", "config_id", "n_secrets", "text"])
+
+    rows = settings.select(F.col("config_id").cast("long").alias("config_id"), *(c for c, _ in FIELDS))
+    return spread(rows, "config_id").mapInPandas(run, "place string, config_id long, n_secrets int, text string").dropDuplicates(["place", "config_id"])
+
+
 def all_findings(files: DataFrame, settings: DataFrame) -> DataFrame:
     """Findings in file contents and in the two secret-bearing fields of the provider settings."""
     return (

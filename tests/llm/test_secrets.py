@@ -89,3 +89,17 @@ def test_long_values_by_entropy_and_name():
     long = "".join(random.Random(2).choices(letters, k=200))
     assert lines(f'client_secret = "{long}"') == [1]
     assert not lines(f'const rows = "{long}"') and not lines('client_secret = "' + "a1" * 100 + '"')
+
+
+def test_settings_are_redacted(spark):
+    rows = [(1, f' "{TOKEN}"\n', "https://bot:s3cr3tPw9xQ@api.local/v1"), (2, None, ""), (3, "your-api-key", "https://api.local"), (1, f' "{TOKEN}"\n', "https://bot:s3cr3tPw9xQ@api.local/v1")]
+    settings = spark.createDataFrame(rows, "config_id long, api_key string, api_endpoint string")
+    masked = {(r.place, r.config_id): (r.n_secrets, r.text) for r in secrets.redacted_settings(settings).collect()}
+    assert masked == {("provider_config.api_key", 1): (1, ' "REDACTED"\n'), ("provider_config.api_endpoint", 1): (1, "https://bot:REDACTED@api.local/v1")}
+
+
+def test_all_tokens_of_a_comment_line_are_masked():
+    a, b = "Qx7Lm2Vt9Zk4Rw8Bn3Yc6Hs1Jf5Gp0EuT", "a8Kd02mZqLx7Vt5Rw1Bn9Yc4Hs6Jf3Gp0EuQ"
+    text = f"// old access {a} and then {b} in use\n// sha256 {'0f' * 32} was signed using {b}\n"
+    (_, hits), = secrets.scan([text])
+    assert secrets.redact(text, hits) == f"// old access REDACTED and then REDACTED in use\n// sha256 {'0f' * 32} was signed using REDACTED\n"
