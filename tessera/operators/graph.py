@@ -8,6 +8,8 @@ null end are none, repeated edges count once, and an empty table gives an empty
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +71,11 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
     return reached
 
 
-def closure(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``src, dst, depth``: all pairs joined by a walk, with its least length; walks up to 2 ** rounds."""
+def closure(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``src, dst, depth``: all pairs joined by a walk, with its least length; with *rounds*, walks up to 2 ** rounds only."""
     paths = checkpoint(known(edges).select("src", "dst", F.lit(1).alias("depth")))
     n = paths.count()
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         a, b = paths.alias("a"), paths.alias("b")
         longer = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         paths = checkpoint(paths.union(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
@@ -121,17 +123,21 @@ def canonical(path: Column) -> Column:
     return F.concat(F.slice(path, at, n), F.slice(path, F.lit(1), at - 1))
 
 
-def cycles(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``cycle, length``: the cycles of a graph with at most one edge out of each vertex.
+def cycles(edges: DataFrame) -> DataFrame:
+    """``cycle, length``: the cycles, of any length, of a graph with at most one edge out of each vertex.
 
-    A vertex lies on a cycle if it reaches itself; the length is the least such walk, and the
-    cycle is named by its smallest vertex.
+    Pointer doubling: each vertex knows where its walk is after 1, 2, 4, ... steps and the smallest
+    vertex on the way. After as many steps as there are edges, walks that did not end are on a
+    cycle; it is named by its smallest vertex.
     """
-    paths = closure(edges, rounds)
-    on = paths.where("src = dst").select(F.col("src").alias("id"), "depth")
-    reach = paths.join(on.select(F.col("id").alias("src")), "src").join(on.select(F.col("id").alias("dst")), "dst")
-    named = reach.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("cycle"))
-    return named.groupBy("cycle").agg(F.count("*").alias("length"))
+    jump = checkpoint(known(edges).select(F.col("src").alias("id"), F.col("dst").alias("to"), F.col("src").alias("least")))
+    n, steps = jump.count(), 1
+    while steps < n:
+        on = jump.select(F.col("id").alias("to"), F.col("to").alias("then"), F.col("least").alias("other"))
+        jump = checkpoint(jump.join(on, "to").select("id", F.col("then").alias("to"), F.least("least", "other").alias("least")))
+        steps *= 2
+    on = jump.select(F.col("to").alias("id")).distinct()
+    return jump.join(on, "id").groupBy(F.col("least").alias("cycle")).agg(F.count("*").alias("length"))
 
 
 def self_loops(edges: DataFrame) -> DataFrame:

@@ -78,6 +78,21 @@ def short_cycles(spark, folder):
     return graph.closure(_next(spark, folder), 4).where("src = dst and depth <= 16").select(F.col("src").alias("id"), F.col("depth").alias("length"))
 
 
+def all_callees(spark, folder):
+    """Number of parts that each part leads to over walks of any length."""
+    return graph.closure(_next(spark, folder)).groupBy("src").agg(F.count("*").alias("callees"), F.max("depth").alias("depth"))
+
+
+def all_callers(spark, folder):
+    """Number of parts that lead to each part over walks of any length."""
+    return graph.closure(_next(spark, folder)).groupBy("dst").agg(F.count("*").alias("callers"), F.max("depth").alias("depth"))
+
+
+def all_cycles(spark, folder):
+    """Cycles of any length, named by their smallest part."""
+    return graph.cycles(_next(spark, folder))
+
+
 def shortest_path(spark, folder):
     """Undirected distances from part 1, up to 10 steps."""
     return graph.undirected_distance(_next(spark, folder), 1, 10).select("id", "depth")
@@ -225,7 +240,7 @@ def dot_export(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (next_part_graph, fan_in_out, role_counts, entry_points, dependency_depth, dependency_layers, reachability, dependency_tree, transitive_callees, transitive_callers, short_cycles, shortest_path, call_chain, chain_position, critical_paths, bidirectional_dependency, module_cohesion, modularity_score, containment_tree, tree_widths, path_complexity, ranked_lookup, call_resolution, graph_nodes, graph_edges, class_parents, function_lookup, dot_export)
+    for f in (next_part_graph, fan_in_out, role_counts, entry_points, dependency_depth, dependency_layers, reachability, dependency_tree, transitive_callees, transitive_callers, short_cycles, all_callees, all_callers, all_cycles, shortest_path, call_chain, chain_position, critical_paths, bidirectional_dependency, module_cohesion, modularity_score, containment_tree, tree_widths, path_complexity, ranked_lookup, call_resolution, graph_nodes, graph_edges, class_parents, function_lookup, dot_export)
 }
 
 _DEGREES = f"""(WITH e AS {NEXT}, o AS (SELECT src AS id, count(*) AS fan_out FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) AS fan_in FROM e GROUP BY 1)
