@@ -1,17 +1,21 @@
 """Files that nobody wrote by hand: generated, minified or bundled, third-party, or data kept as code.
 
 Method: character n-gram models of the identifiers of each language, trained on all files.
-Names mangled by a minifier have a cross-entropy far above the language's own average. Files
-whose text is nearly all literals have hardly any names at all (low diversity) and are data.
-The naming style of a file's stem, rare among the files of its language, marks foreign code;
-third-party copies are confirmed by what they share with other repositories: runs of
-``BLOCKS`` blocks of code that stand in at least two of them. Generated files of this project
-read like hand-written ones, so their notices, suffixes and folders are used beside the models.
-
-Nothing is compared in pairs. The models that reach the driver are bounded by the alphabet,
-three letters long, for each language. Shared blocks are counted by hash, combined on the map
-side, and joined back salted, so a library that a third of all files copy does not end up in
-one task.
+Names are mangled if their cross-entropy lies far above what is usual in the language and they
+are far shorter than usual. Names that mostly differ by numbers only (low diversity of
+templates) were made by a tool. A file whose identifiers are put together in another way than
+those of its language, under a name of a rare style, is foreign. "Usual" is measured over all
+files of the language: the median and its robust deviation.
+
+Beside the models stand notices, suffixes, folders and the form of the text (``told``), since
+generated files of this project read like hand-written ones, and runs of ``BLOCKS`` blocks of
+code that stand in at least two repositories, since copies do too. ``evidence`` names what
+decided a row.
+
+Nothing is compared in pairs. The models that reach the driver are bounded by the alphabet of
+``folded``, three letters long, for each language of CODE. Shared blocks are counted by hash,
+combined on the map side, and joined back; a library that a third of all files copy is dealt
+out by its measured count.
 
 Defined cases: null and empty content is judged by its path alone; files delivered twice give
 one row; files without identifiers have no cross-entropy; other columns are ignored.
@@ -22,26 +26,31 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import spread
+from tessera.session import checkpoint, spread
 
 #: Blocks of code (between blank lines) in a row that must agree to count as a copy; least letters of one.
 BLOCKS, BLOCK_LETTERS = 5, 20
 #: Share of a file's runs of blocks that stand in other repositories, from which on it is a copy.
 COPIED = 0.5
-#: Cross-entropy of a file's names over that of its language, from which on they are mangled.
-MANGLED, LEAST_NAMES = 1.55, 12
+#: Names that a file must hold for its cross-entropy, diversity and style to say anything.
+LEAST_NAMES = 40
+#: Robust deviations from what is usual in the language, beyond which names are mangled or their style is foreign.
+SPREADS = 6.0
+#: Share of different templates among a file's names, below which a tool has made them.
+TEMPLATES = 0.5
 #: A stem style of less than this share of a language's files is foreign.
 FOREIGN = 0.15
-#: Parts into which a shared run of blocks is dealt for the join.
-SALTS = 16
+#: A run of blocks with more than one in so many of all rows is dealt into parts for the join.
+HOT = 1024
 
 CODE = {"js", "jsx", "ts", "tsx", "mjs", "cjs", "py", "dart", "vue", "java", "kt", "go", "rb", "php", "c", "cc", "cpp", "h", "cs", "swift", "css", "scss"}
 # Names that tools give to what they write.
@@ -90,20 +99,42 @@ def stem_style(path: str) -> str:
     return "word"
 
 
-def code_only(text: str) -> str:
-    """*text* without comments and literals."""
-    return COMMENTS.sub(" ", LITERAL.sub(" '' ", text))
+#: Letters of names that count as one in the models, so that their alphabet is bounded.
+DIGIT, FOREIGN_LETTER = re.compile(r"\d"), re.compile(r"[^\x00-\x7f]")
 
 
-def names(text: str) -> list[str]:
-    return NAME.findall(code_only(text))
+class Source:
+    """The text of a file with the places of its comments and literals, which are looked for once."""
 
+    def __init__(self, text: str):
+        self.text = text
 
-DIGIT = re.compile(r"\d")
+    @cached_property
+    def spans(self) -> list[tuple[int, int, bool]]:
+        """Start, end, and whether it is a comment."""
+        return [(*m.span(), m["c"] is not None) for m in SPANS.finditer(self.text)]
+
+    def without(self, comment: str | None, literal: str | None) -> str:
+        """The text with comments and literals replaced; None keeps them."""
+        out, at = [], 0
+        for start, end, is_comment in self.spans:
+            put = comment if is_comment else literal
+            if put is not None:
+                out += [self.text[at:start], put]
+                at = end
+        return "".join(out) + self.text[at:]
+
+    @cached_property
+    def code(self) -> str:
+        return self.without(" ", " '' ")
+
+    @cached_property
+    def names(self) -> Counter:
+        return Counter(NAME.findall(self.code))
 
 
 def folded(name: str) -> str:
-    return DIGIT.sub("0", name.lower())
+    return FOREIGN_LETTER.sub("¤", DIGIT.sub("0", name.lower()))
 
 
 @lru_cache(maxsize=1 << 14)
@@ -113,6 +144,30 @@ def grams(name: str) -> tuple[str, ...]:
     return tuple(s[i : i + 3] for i in range(len(s) - 2))
 
 
+#: Ways in which an identifier can be put together.
+STYLES = ("short", "upper", "snake", "pascal", "camel", "word")
+
+
+@lru_cache(maxsize=1 << 14)
+def name_style(name: str) -> int:
+    """Ordinal of the style of an identifier in STYLES."""
+    if len(name) <= 2:
+        return 0
+    if name.isupper():
+        return 1
+    if "_" in name.strip("_"):
+        return 2
+    if name[0].isupper():
+        return 3
+    return 4 if re.search(r"[a-z][A-Z]", name) else 5
+
+
+def diversity(words: Iterable[str]) -> float:
+    """Share of different templates among different names: names that differ only by numbers have one template."""
+    each = set(words)
+    return len({folded(re.sub(r"\d+", "0", w)) for w in each}) / len(each) if each else 1.0
+
+
 class NameModel:
     """Interpolated letter trigram models of names, one for each language."""
 
@@ -159,12 +214,16 @@ class NameModel:
         return bits / n if n else 0.0
 
 
-def comment_lines(text: str) -> list[tuple[int, str]]:
+def comment_lines(source: Source) -> list[tuple[int, str]]:
     """Place and words of every line of comment of the whole text; text within literals is none."""
+    text = source.text
     literal, block = [], []
-    for m in SPANS.finditer(text):
-        if "\n" in m[0]:
-            (block if m["c"] and m[0].endswith(("*/", "-->")) else literal if not m["c"] else []).append(m.span())
+    for start, end, is_comment in source.spans:
+        if "\n" in text[start:end]:
+            if not is_comment:
+                literal.append((start, end))
+            elif text[start:end].endswith(("*/", "-->")):
+                block.append((start, end))
     out, at, k, j = [], 0, 0, 0
     for line in text.split("\n"):
         while k < len(literal) and literal[k][1] <= at:
@@ -181,19 +240,19 @@ def comment_lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def has_notice(text: str) -> bool:
+def has_notice(source: Source) -> bool:
     """Whether a comment anywhere in the file says that a tool wrote it."""
-    return bool(TOLD.search(text)) and any(NOTICE.search(words) for _, words in comment_lines(text))
+    return bool(TOLD.search(source.text)) and any(NOTICE.search(words) for _, words in comment_lines(source))
 
 
-def names_library(path: str, text: str) -> bool:
+def names_library(path: str, source: Source) -> bool:
     """Whether the licence notice above the code names the file itself: its stem or folder."""
     stem = path.rsplit("/", 1)[-1].split(".", 1)[0].lower()
-    if len(stem) <= 2 or not LICENSE.search(text):
+    if len(stem) <= 2 or not LICENSE.search(source.text):
         return False
-    comments = dict(comment_lines(text))
+    comments = dict(comment_lines(source))
     head, at = [], 0
-    for line in text.split("\n"):
+    for line in source.text.split("\n"):
         if at in comments:
             head.append(comments[at])
         elif not PROLOGUE.match(line):
@@ -215,27 +274,25 @@ def collapsed(text: str) -> bool:
     return len(longest) >= 500 and len(longest) >= 0.7 * len(text) and marks >= 10 and marks >= 0.012 * len(longest)
 
 
-def is_data(ext: str, text: str) -> bool:
+def is_data(ext: str, source: Source) -> bool:
     """Whether a code file is nearly all numbers and literals."""
-    if ext not in CODE - {"css", "scss", "vue"} or len(text) < 500:
+    if ext not in CODE - {"css", "scss", "vue"} or len(source.text) < 500:
         return False
-    bare = COMMENTS.sub(" ", text)
-    code = LITERAL.sub("", bare)
+    code = source.without("", "")
+    literals = [source.text[start:end] for start, end, is_comment in source.spans if not is_comment]
     letters = sum(map(len, NAME.findall(code)))
-    if letters > 0.08 * len(bare):
+    if letters > 0.08 * (len(code) + sum(map(len, literals))):
         return False
-    longest = max((len(m) for m in LITERAL.findall(bare)), default=0)
     numbers = len(re.findall(r"(?<![\w.])-?\d[\w.]*", code))
-    literals = len(LITERAL.findall(bare))
-    blank = bool(re.search(r"\s", max(LITERAL.findall(bare), key=len)[1:-1])) if literals else False
-    return numbers >= 40 or numbers + literals >= 60 or longest >= 400 and not blank
+    longest = max(literals, key=len, default="")
+    return numbers >= 40 or numbers + len(literals) >= 60 or len(longest) >= 400 and not re.search(r"\s", longest[1:-1])
 
 
-def block_runs(text: str) -> list[int]:
+def block_runs(source: Source) -> list[int]:
     """Hashes of BLOCKS blocks of code in a row, or of the whole if it has fewer."""
     blocks = []
-    for b in re.split(r"\n[ \t\r]*\n", COMMENTS.sub("", text.replace("\r\n", "\n"))):
-        squeezed = re.sub(r"\s+", "", b)
+    for b in re.split(r"\n[ \t\r]*\n", source.without("", None).replace("\r\n", "\n")):
+        squeezed = "".join(b.split())
         if len(squeezed) >= BLOCK_LETTERS:
             blocks.append(squeezed)
     if len(blocks) < BLOCKS:
@@ -244,38 +301,45 @@ def block_runs(text: str) -> list[int]:
     return list({xxhash.xxh3_64_intdigest("\n".join(blocks[i : i + BLOCKS]).encode()) - (1 << 63) for i in range(len(blocks) - BLOCKS + 1)})
 
 
-def verdict(path: str, text: str, model: NameModel) -> tuple[str, float]:
-    """Why a file alone, without the others, is known not to be hand-written, or ""; and its cross-entropy."""
-    ext = extension(path)
-    ratio = 0.0
-    if text and ext in CODE:
-        words = names(text)
-        if len(words) >= LEAST_NAMES and model.average.get(ext):
-            ratio = model.cross_entropy(ext, words) / model.average[ext]
+def told(path: str, ext: str, source: Source) -> str:
+    """The kind that the path, a notice or the form of the text tells, beside the models; or ""."""
+    text = source.text
     if LOCK_FILES.search(path) or is_lock(ext, text):
-        return "lock file", ratio
-    if text and has_notice(text) or GENERATED_NAME.search(path) or GENERATED_FOLDER.search(path):
-        return "generated", ratio
-    if MINIFIED_NAME.search(path) or text and ext in CODE and (collapsed(text) or ratio >= MANGLED and max(map(len, text.split("\n"))) >= 200):
-        return "minified", ratio
-    if VENDOR_FOLDER.search(path) or text and names_library(path, text):
-        return "third-party", ratio
-    if text and is_data(ext, text):
-        return "data", ratio
-    return "", ratio
+        return "lock file"
+    if text and has_notice(source) or GENERATED_NAME.search(path) or GENERATED_FOLDER.search(path):
+        return "generated"
+    if MINIFIED_NAME.search(path) or text and ext in CODE and collapsed(text):
+        return "minified"
+    if VENDOR_FOLDER.search(path) or text and names_library(path, source):
+        return "third-party"
+    return "data" if text and is_data(ext, source) else ""
+
+
+#: Names of a partition that are counted before their trigrams are added up.
+MOST_NAMES = 200_000
 
 
 def name_model(files: DataFrame) -> NameModel:
     """Letter trigrams of the names of all files, each name once a file, added up by language."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: Counter = Counter()
         counts: Counter = Counter()
+
+        def add_up() -> None:
+            for (ext, w), n in known.items():
+                for g in grams(w):
+                    counts[ext, g] += n
+            known.clear()
+
         for batch in batches:
             for path, text in zip(batch["file_path"], batch["content"], strict=True):
                 ext = extension(path)
                 if ext in CODE:
-                    for w in set(names(text)):
-                        counts.update((ext, g) for g in grams(w))
+                    known.update((ext, w) for w in Source(text).names)
+            if len(known) > MOST_NAMES:
+                add_up()
+        add_up()
         yield pd.DataFrame([(lang, g, n) for (lang, g), n in counts.items()], columns=["lang", "gram", "n"])
 
     rows = (
@@ -288,12 +352,11 @@ def name_model(files: DataFrame) -> NameModel:
     return NameModel({(r.lang, r.gram): r.n for r in rows})
 
 
-FEATURES = "file_id long, repo string, ext string, style string, kind string, mangled double, runs array<long>"
+FEATURES = "file_id long, repo string, ext string, style string, told string, n_names long, bits double, letters double, diversity double, styles array<double>, runs array<long>"
 
 
-def judged(files: DataFrame) -> DataFrame:
-    """One row per file: kind ("" for hand-written), cross-entropy ratio, share copied from other repositories."""
-    model = name_model(files)
+def features(files: DataFrame, model: NameModel) -> DataFrame:
+    """One row per file: what the models measure, and what path and notices tell. Checkpointed, since it is read several times."""
     known = files.sparkSession.sparkContext.broadcast(model.three)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,36 +364,119 @@ def judged(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for i, repo, path, text in zip(batch["file_id"], batch["repo"], batch["file_path"], batch["content"], strict=True):
-                path, text = path or "", text or ""
-                kind, ratio = verdict(path, text, m)
+                path, source = path or "", Source(text or "")
                 ext = extension(path)
-                out.append((i, repo, ext, stem_style(path), kind, ratio, block_runs(text) if ext in CODE and text else []))
-            yield pd.DataFrame(out, columns=["file_id", "repo", "ext", "style", "kind", "mangled", "runs"])
+                n, bits, letters, alike, styles, runs = 0, 0.0, 0.0, 1.0, [0.0] * len(STYLES), []
+                if ext in CODE and source.text:
+                    words = source.names
+                    n = words.total()
+                    if n:
+                        bits = m.cross_entropy(ext, words)
+                        letters = sum(map(len, words)) / len(words)
+                        alike = diversity(words) if len(words) >= LEAST_NAMES else 1.0
+                        for w, k in words.items():
+                            styles[name_style(w)] += k / n
+                    runs = block_runs(source)
+                out.append((i, repo, ext, stem_style(path), told(path, ext, source), n, bits, letters, alike, styles, runs))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
 
     columns = files.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce("repo", F.lit("")).alias("repo"), "file_path", "content")
-    features = spread(columns, "file_id").mapInPandas(run, FEATURES).dropDuplicates(["file_id"]).persist()
-    runs = features.select("file_id", "repo", F.explode("runs").alias("run"))
-    shared = runs.groupBy("run").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a <> b").select("run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    copied = runs.withColumn("salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int")).join(shared, ["run", "salt"]).groupBy("file_id").agg(F.count("*").alias("n_shared"))
-    styles = features.where(F.col("ext").isin(sorted(CODE))).groupBy("ext", "style").agg(F.count("*").alias("n"))
+    return checkpoint(spread(columns, "file_id").mapInPandas(run, FEATURES).dropDuplicates(["file_id"]))
+
+
+class Limits(NamedTuple):
+    """What is usual in a language: the most bits a letter, the fewest letters a name, the most divergence of styles."""
+
+    bits: float
+    letters: float
+    styles: list[float]
+    divergence: float
+
+
+def _divergence(own: Column, usual: Column) -> Column:
+    """Jensen-Shannon divergence of two distributions over STYLES, in bits."""
+    half = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
+    both = F.zip_with(own, usual, lambda x, y: (half(x, y) + half(y, x)) / 2)
+    return F.aggregate(both, F.lit(0.0), lambda a, x: a + x)
+
+
+def limits(measured: DataFrame) -> dict[str, Limits]:
+    """The limits of each language: SPREADS robust deviations from the median of its files. One row a language of CODE."""
+    judged_by = measured.where(F.col("ext").isin(sorted(CODE)) & (F.col("n_names") >= LEAST_NAMES))
+    middle = {
+        r.ext: r
+        for r in judged_by.groupBy("ext")
+        .agg(F.percentile_approx("bits", 0.5, 10_000).alias("bits"), F.percentile_approx("letters", 0.5, 10_000).alias("letters"), F.array(*(F.avg(F.element_at("styles", k + 1)) for k in range(len(STYLES)))).alias("styles"))
+        .collect()
+    }
+    if not middle:
+        return {}
+    usual = F.create_map(*(x for e, r in middle.items() for x in (F.lit(e), F.struct(F.lit(r.bits).alias("bits"), F.lit(r.letters).alias("letters"), F.array(*map(F.lit, r.styles)).alias("styles")))))[F.col("ext")]
+    off = judged_by.withColumn("usual", usual).select("ext", F.abs(F.col("bits") - F.col("usual.bits")).alias("bits"), F.abs(F.col("letters") - F.col("usual.letters")).alias("letters"), _divergence(F.col("styles"), F.col("usual.styles")).alias("d"))
+    out = {}
+    for r in off.groupBy("ext").agg(*(F.percentile_approx(c, 0.5, 10_000).alias(c) for c in ("bits", "letters", "d"))).collect():
+        m = middle[r.ext]
+        # 1.4826 median absolute deviations are one standard deviation of a normal distribution
+        out[r.ext] = Limits(m.bits + max(SPREADS * 1.4826 * r.bits, 0.15 * m.bits), m.letters - SPREADS / 2 * 1.4826 * r.letters, list(m.styles), SPREADS * 1.4826 * r.d)
+    return out
+
+
+def shared_runs(measured: DataFrame) -> DataFrame:
+    """``file_id, n_shared``: how many of a file's runs of blocks stand in another repository too.
+
+    A run that holds more than one in ``HOT`` of all rows is dealt into parts by its measured
+    count. There are at most HOT such runs, so their list can be broadcast.
+    """
+    runs = measured.select("file_id", "repo", F.explode("runs").alias("run"))
+    total = measured.agg(F.sum(F.size("runs"))).first()[0] or 0
+    part = max(total // HOT, 1000)
+    counts = runs.groupBy("run").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.count("*").alias("n")).where("a <> b").select("run", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    hot = counts.where("parts > 1")
+    shared = counts.select("run", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = runs.join(F.broadcast(hot), "run", "left").select("file_id", "run", F.pmod(F.xxhash64("file_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    return dealt.join(shared, ["run", "part"]).groupBy("file_id").agg(F.count("*").alias("n_shared"))
+
+
+def judged(files: DataFrame) -> DataFrame:
+    """One row per file: kind ("" for hand-written), what told it, and what was measured."""
+    measured = features(files, name_model(files))
+    usual = limits(measured)
+    code = F.col("ext").isin(sorted(CODE))
+    enough = code & (F.col("n_names") >= LEAST_NAMES)
+
+    def of(pick: Callable[[Limits], Column | float], otherwise: Column) -> Column:
+        """A limit of the row's language."""
+        return F.coalesce(F.create_map(*(x for e, u in usual.items() for x in (F.lit(e), pick(u) if isinstance(pick(u), Column) else F.lit(pick(u)))))[F.col("ext")], otherwise) if usual else otherwise
+
+    never, always = F.lit(float("inf")), F.lit(float("-inf"))
+    styles = measured.where(code).groupBy("ext", "style").agg(F.count("*").alias("n"))
     totals = styles.groupBy("ext").agg(F.sum("n").alias("of"))
-    rare = styles.join(F.broadcast(totals), "ext").select("ext", "style", (F.col("n") < FOREIGN * F.col("of")).alias("foreign"))
-    return (
-        features.join(copied, "file_id", "left")
+    rare = styles.join(F.broadcast(totals), "ext").select("ext", "style", (F.col("n") < FOREIGN * F.col("of")).alias("foreign"))  # a row for each of CODE and of five styles
+    foreign = F.coalesce("foreign", F.lit(False))
+    rows = (
+        measured.join(shared_runs(measured), "file_id", "left")
         .join(F.broadcast(rare), ["ext", "style"], "left")
-        .select(
-            "file_id",
-            F.when(F.col("kind") != "", F.col("kind"))
-            .when(
-                F.col("ext").isin(sorted(CODE))
-                & (F.coalesce(F.col("n_shared"), F.lit(0)) >= F.when(F.coalesce("foreign", F.lit(False)), COPIED / 2).otherwise(COPIED) * F.size("runs"))
-                & (F.size("runs") > 0),
-                F.lit("third-party"),
-            )
-            .otherwise(F.lit(""))
-            .alias("kind"),
-            F.round("mangled", 4).alias("mangled"),
-            F.round(F.coalesce(F.col("n_shared") / F.greatest(F.size("runs"), F.lit(1)), F.lit(0.0)), 4).alias("copied"),
-            F.coalesce("foreign", F.lit(False)).alias("foreign_style"),
-        )
+        .withColumn("copied", F.coalesce(F.col("n_shared") / F.greatest(F.size("runs"), F.lit(1)), F.lit(0.0)))
+        .withColumn("apart", F.when(enough, _divergence(F.col("styles"), of(lambda u: F.array(*map(F.lit, u.styles)), F.col("styles")))).otherwise(F.lit(0.0)))
+        .withColumn("mangled", enough & (F.col("bits") > of(lambda u: u.bits, never)) & (F.col("letters") < of(lambda u: u.letters, always)))
+        .withColumn("templates", enough & (F.col("diversity") < TEMPLATES))
+        .withColumn("style_apart", enough & foreign & (F.col("apart") > of(lambda u: u.divergence, never)))
+        .withColumn("copy", code & (F.size("runs") > 0) & (F.col("copied") >= F.when(foreign, COPIED / 2).otherwise(COPIED)))
     )
+    first = [
+        (F.col("told").isin("lock file", "generated"), F.col("told"), F.lit("told")),
+        (F.col("mangled"), F.lit("minified"), F.lit("cross-entropy")),
+        (F.col("told") == "minified", F.col("told"), F.lit("told")),
+        (F.col("templates"), F.lit("generated"), F.lit("diversity")),
+        (F.col("copy"), F.lit("third-party"), F.lit("copied")),
+        (F.col("told") != "", F.col("told"), F.lit("told")),
+        (F.col("style_apart"), F.lit("third-party"), F.lit("style")),
+    ]
+
+    def chosen(which: int) -> Column:
+        out = F.lit("")
+        for choice in reversed(first):
+            out = F.when(choice[0], choice[which]).otherwise(out)
+        return out
+
+    return rows.select("file_id", chosen(1).alias("kind"), chosen(2).alias("evidence"), F.round("bits", 4).alias("bits"), F.round("diversity", 4).alias("diversity"), F.round("apart", 4).alias("apart"), F.round("copied", 4).alias("copied"), foreign.alias("foreign_style"))
