@@ -1,3 +1,5 @@
+import random
+
 from tessera.llm import handwritten as H
 
 CODE = """
@@ -55,9 +57,9 @@ VERBS = "open close merge split format render collect resolve publish restore".s
 
 def hand_written(k):
     """A file with some fifty names, put together differently for each *k*."""
-    out = []
-    for n in range(12):
-        verb, word, other = VERBS[(k + n) % 10], WORDS[(3 * k + n) % 20], WORDS[(7 * k + 5 * n + 1) % 20]
+    out, pick = [], random.Random(k)
+    for _ in range(12):
+        verb, (word, other) = pick.choice(VERBS), pick.sample(WORDS, 2)
         out.append(f"export function {verb}{word.title()}({other}, {word}List) {{\n  const {other}{word.title()} = {word}List.filter((x) => x.{other} > 0);\n  return {other}{word.title()};\n}}\n")
     return "\n".join(out)
 
