@@ -3,16 +3,17 @@
 Method: a wrong code page acts as a substitution cipher. ``CIPHERS`` holds the ways in which
 bytes written in one encoding can be read in another; which of them struck is unknown and
 differs by source. Expectation-maximisation learns, against language bigrams of the whole
-collection, how often each cipher struck in each source and which letter each of its units
-stands for: the E step weighs the ciphers of every suspicious run by the gain in bigram
-likelihood, the M step sums those weights by source and by unit. The learnt key is then
-applied: runs that the cipher's encodings convert without loss are converted (the exact
-check), units of damaged runs go through the learnt table with ``str.translate`` and, for
-units of several characters, a single substitution.
+collection, how often each cipher struck in each source and which letter each unit of a cipher
+(the characters that one letter was read as) stands for: the E step weighs the ciphers of every
+suspicious run by the gain in bigram likelihood, the M step sums those weights by source and by
+unit. The learnt key is then applied: the units of a run go through the learnt table of its
+cipher (``str.translate`` where units are single characters). The encodings are the exact
+check: a run that the table turns into text which would not have been read as that run is
+converted by the encodings instead; ``by_table`` counts the runs that the table restored.
 
 Everything is counted over all documents. What reaches the driver is bounded: bigrams over a
-fixed alphabet (``symbol``), weights by (source, cipher), and units by (cipher, unit), whose
-number the code pages bound.
+fixed alphabet (``symbol``), weights by (group of sources, cipher), where there are GROUPS
+groups, and the likeliest letter by (cipher, unit), whose number the code pages bound.
 
 Defined cases: null and empty texts are no cases; text already right is left alone; a text
 with replacement characters is a case that cannot be restored; a quoted sequence that only
@@ -54,6 +55,12 @@ def _page(name: str) -> dict[int, int]:
 #: The encodings that are commonly confused.
 SINGLE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_15")
 DOUBLE = ("gbk", "big5", "cp932", "euc_kr")
+#: Swaps that are rarer still: they must gain more.
+FAR = (
+    *((w, t) for w in ("cp850", "cp1250", "iso8859_15") for t in ("cp1252", "mac_roman", "cp437")),
+    *((w, t) for w in ("cp1252", "mac_roman", "cp437") for t in ("cp850", "cp1250", "cp1251", "koi8_r", "cp866")),
+    *((w, t) for w in ("cp1251", "koi8_r", "cp866") for t in ("cp1251", "koi8_r", "cp866", "cp1252") if w != t),
+)
 #: (read as, written in)
 CIPHERS: tuple[tuple[str, str], ...] = (
     *((w, "utf-8") for w in SINGLE),
@@ -61,6 +68,7 @@ CIPHERS: tuple[tuple[str, str], ...] = (
     *((w, t) for w in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251") for t in (*DOUBLE, "euc_jp")),
     *((w, t) for w in ("cp1252", "mac_roman", "cp437") for t in ("cp1252", "mac_roman", "cp437") if w != t),
     *((w, t) for w in DOUBLE for t in DOUBLE if w != t),
+    *FAR,
 )
 PAGES = {w: _page(w) for w in SINGLE}
 #: Stretches that a page can have produced; of multi-byte encodings all that is not lost.
@@ -167,6 +175,8 @@ def suspicious(line: str) -> bool:
     if LOST in line or HIGH_RUN.search(line):
         return True
     for run in NON_ASCII.findall(line):
+        if max(run) >= "\u3000":  # no single-byte page holds it
+            continue
         for w in ("cp1252", "cp437", "cp1251", *(("mac_roman",) if SIGNS.search(run) else ())):
             plain = decipher(run, (w, "utf-8"))
             if plain is not None and len(plain) < len(run):
@@ -174,32 +184,86 @@ def suspicious(line: str) -> bool:
     return False
 
 
-#: The symbols of ASCII by code; the line end keeps its own, so that pairs over it can be left out.
-ASCII = np.array([10 if i == 10 else ord(symbol(chr(i))) for i in range(128)], dtype=np.int64)
+# --- whole batches as arrays -----------------------------------------------------------------
+
+
+@lru_cache(maxsize=1)
+def symbol_table() -> np.ndarray:
+    """Code point -> code point of its symbol; 0 for the empty symbol."""
+    table = np.zeros(0x110000, dtype=np.int32)
+    for block in ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF)):
+        table[block[0] : block[1] + 1] = ord("一")
+    table[0xAC00:0xD7B0] = ord("가")
+    for block in ((0, 0x5FF), (0x2010, 0x206F), (0x20A0, 0x20CF), (0x2100, 0x27BF), (0x3000, 0x30FF), (0xFF00, 0xFFEF)):
+        for o in range(block[0], block[1] + 1):
+            table[o] = ord(symbol(chr(o)) or "\0")
+    return table
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def count_bigrams(texts: Iterable[str]) -> tuple[Counter, Counter]:
-    """Pairs of symbols of all lines that are not suspicious, and their Chinese characters and Hangul; ASCII lines are counted as arrays."""
+    """Pairs of symbols of all lines that are not suspicious, and their Chinese characters and Hangul."""
     pairs, singles = Counter(), Counter()
-    plain = []
-    for text in texts:
-        for line in text.split("\n"):
-            if line.isascii():
-                if line:
-                    plain.append(line)
-            elif not suspicious(line):
-                s = [symbol(c) for c in f" {line} "]
-                pairs.update(zip(s, s[1:], strict=False))
-                singles.update(c for c in line if symbol(c) in "一가")
-    if plain:
-        codes = ASCII[np.frombuffer((" " + " \n ".join(plain) + " ").encode("ascii"), dtype=np.uint8)]
-        n = np.bincount(codes[:-1] * 128 + codes[1:], minlength=128 * 128).reshape(128, 128)
-        n[10, :] = n[:, 10] = 0
-        for a, b in zip(*np.nonzero(n), strict=True):
-            pairs[chr(a), chr(b)] += int(n[a, b])
+    lines = [line for text in texts for line in text.split("\n") if line and (line.isascii() or not suspicious(line))]
+    if not lines:
+        return pairs, singles
+    points = code_points(" " + " \n ".join(lines) + " ")
+    codes = symbol_table()[points].astype(np.int64)
+    codes[points == 10] = -1  # the line end keeps its own, so that pairs over it can be left out
+    inside = (codes[:-1] >= 0) & (codes[1:] >= 0)
+    both, n = np.unique((codes[:-1] << 21 | codes[1:])[inside], return_counts=True)
+    letter = lambda o: chr(o) if o else ""
+    for x, k in zip(both.tolist(), n.tolist(), strict=True):
+        pairs[letter(x >> 21), letter(x & 0x1FFFFF)] += k
+    each, n = np.unique(points[(codes == ord("一")) | (codes == ord("가")) | (codes == 0)], return_counts=True)
+    for x, k in zip(each.tolist(), n.tolist(), strict=True):
+        singles[chr(x)] += k
     return pairs, singles
 
 
+class Surprises:
+    """``Bigrams.surprise`` of all lines of a batch at once."""
+
+    def __init__(self, model: Bigrams):
+        known = sorted({x for pair in model.pairs for x in pair})
+        table = symbol_table()
+        at = np.full(0x110000, len(known), dtype=np.int32)  # symbols never seen share the last place
+        for k, x in enumerate(known):
+            at[ord(x) if x else 0] = k
+        self.place = at[table]
+        n = len(known) + 1
+        second, first = np.zeros(n, dtype=np.float32), np.zeros(n, dtype=np.float32)
+        for k, x in enumerate(known):
+            second[k], first[k] = model.second.get(x, 0), model.first.get(x, 0)
+        number = {x: k for k, x in enumerate(known)}
+        counts = np.zeros((n, n), dtype=np.float32)
+        for (a, b), k in model.pairs.items():
+            counts[number[a], number[b]] = k
+        base = (second + 0.05) / (model.total + 300)
+        self.cost = -np.log((counts + 4 * base) / (first + 4)[:, None])
+        self.single = np.zeros(0x110000, dtype=np.float32)
+        self.single[(table == ord("一")) | (table == ord("가")) | (table == 0)] = -math.log(0.05 / (model.all_singles + 2000))
+        for c, k in model.singles.items():
+            self.single[ord(c)] = -math.log((k + 0.05) / (model.all_singles + 2000))
+
+    def lines(self, texts: list[str]) -> Iterator[list[float]]:
+        """For each text the surprise of each of its lines; lines of ASCII have none."""
+        points = code_points("\n" + "\n".join(texts) + "\n")
+        p = self.place[points]
+        cost = self.cost[p[:-1], p[1:]] + self.single[points[1:]]
+        cost[(points[:-1] <= 0x7F) & (points[1:] <= 0x7F)] = 0.0
+        ends = np.flatnonzero(points == 10)
+        most = np.maximum.reduceat(cost, ends[:-1]).tolist() if len(ends) > 1 else []
+        at = 0
+        for text in texts:
+            n = text.count("\n") + 1
+            yield most[at : at + n]
+            at += n
+
+
 # --- runs and their readings --------------------------------------------------------------
 
 QUOTES_BEFORE, QUOTES_AFTER = "\"'“‘«「『：:(（`", "\"'”’»」』，,.。)）`"
@@ -228,21 +292,24 @@ class Reading:
 
 
 #: Gain in log likelihood over the text as it stands, at least, and per garbled character.
-LEAST_GAIN, LEAST_VALID, GAIN_PER_CHARACTER = 6.0, 2.0, 0.25
+LEAST_GAIN, LEAST_VALID, LEAST_FAR, GAIN_PER_CHARACTER = 6.0, 2.0, 20.0, 0.25
 #: A line whose least expected step costs less than this is right as it stands.
 SURPRISE = 11.5
 
 
 def readings(line: str, model: Bigrams) -> Iterator[Reading]:
     """All readings that are clearly likelier than the text as it stands."""
-    if model.surprise(line) < SURPRISE:
-        return
     runs = [m.span() for m in NON_ASCII.finditer(line)]
     seen: dict[tuple[int, int, str], None] = {}
     stretches: dict[str, list[tuple[int, int]]] = {}
     encoded: dict[tuple[str, int, int], bytes | None] = {}
+    offered = False
+    explained: dict[str, int] = defaultdict(int)  # runs that are valid UTF-8 by page: random letters hardly ever form many valid sequences
+    told = sum(end - start for start, end in runs) >= 8
     for cipher in CIPHERS:
         read_as, written = cipher
+        if told and (written != "utf-8" or read_as not in PAGES) and max(explained.values(), default=0) == len(runs) or cipher in FAR and offered:
+            return
         if written != "utf-8" and read_as not in stretches:
             stretches[read_as] = pieces(line, read_as)
         spans = runs if written == "utf-8" else stretches[read_as]
@@ -268,11 +335,14 @@ def readings(line: str, model: Bigrams) -> Iterator[Reading]:
             seen[(start, end, plain)] = None
             before, after = line[start - 1 : start] or " ", line[end : end + 1] or " "
             stands = model.score(text, before, after)
-            valid = written == "utf-8" and read_as in PAGES  # random letters hardly ever form valid sequences
-            least = (LEAST_VALID if valid else LEAST_GAIN) + GAIN_PER_CHARACTER * sum(c > "\x7f" for c in text)
+            valid = written == "utf-8" and read_as in PAGES
+            least = (LEAST_VALID if valid else LEAST_FAR if cipher in FAR else LEAST_GAIN) + GAIN_PER_CHARACTER * sum(c > "\x7f" for c in text)
+            once = plain
             for _ in range(3):  # text encoded wrongly more than once is read more than once
                 gain = model.score(plain, before, after) - stands
                 if gain >= least:
+                    offered = True
+                    explained[read_as] += valid and plain is once
                     yield Reading(start, end, plain, cipher, gain)
                 again = decipher(plain, cipher) if written == "utf-8" else None
                 if again is None or len(again) >= len(plain):
@@ -280,7 +350,7 @@ def readings(line: str, model: Bigrams) -> Iterator[Reading]:
                 plain = again
 
 
-def best_readings(line: str, source: str, offered: list[Reading], key: Key, number: dict) -> list[Reading]:
+def best_readings(line: str, source: int, offered: list[Reading], key: Key, number: dict) -> list[Reading]:
     """Those of the *offered* readings that do not overlap and together gain most (weighted interval scheduling)."""
     found = sorted((r for r in offered if not mentioned(line, r.start, r.end)), key=lambda r: r.end)
     if not found:
@@ -302,57 +372,77 @@ def best_readings(line: str, source: str, offered: list[Reading], key: Key, numb
 
 
 def units(garbled: str, plain: str, cipher: tuple[str, str]) -> Iterator[tuple[str, str]]:
-    """The substitution pairs of a reading: what stands in the text, and the letter it stands for."""
+    """The substitution pairs of a reading: what stands in the text, and the one letter it stands for.
+
+    Both sides are walked by the bytes they share; a pair is given wherever one letter of the
+    plain text and whole characters of the garbled text take up the same bytes.
+    """
     read_as, written = cipher
-    at = 0
-    for c in plain:
-        try:
-            n = len(c.encode(written))
-        except UnicodeEncodeError:
-            return
-        unit = garbled[at : at + n] if read_as in PAGES else ""
-        at += n
-        if unit and not unit.isascii():
+    try:
+        ours = [1 if read_as in PAGES else len(c.encode(read_as)) for c in garbled]
+        theirs = [len(c.encode(written)) for c in plain]
+    except UnicodeEncodeError:
+        return
+    i, at, ahead = 0, 0, 0  # characters taken of the garbled text, its bytes, and bytes of the plain text
+    for c, n in zip(plain, theirs, strict=True):
+        begin, aligned = i, at == ahead
+        ahead += n
+        while i < len(ours) and at < ahead:
+            at += ours[i]
+            i += 1
+        unit = garbled[begin:i]
+        if aligned and at == ahead and unit and not unit.isascii():
             yield unit, c
 
 
 class Key:
-    """What was learnt: log weights by source and cipher, and the letters of units by cipher."""
+    """What was learnt: log weights by group of sources and cipher, and the letters of units by cipher."""
 
-    def __init__(self, weights: dict[tuple[str, int], float], letters: dict[tuple[int, str], str]):
-        self.prior: dict[tuple[str, int], float] = {}
-        totals: dict[str, float] = defaultdict(float)
+    def __init__(self, weights: dict[tuple[int, int], float], letters: dict[tuple[int, str], str]):
+        self.prior: dict[tuple[int, int], float] = {}
+        totals: dict[int, float] = defaultdict(float)
         for (source, _), w in weights.items():
             totals[source] += w
         for (source, k), w in weights.items():
             self.prior[(source, k)] = math.log((w + 0.1) / (totals[source] + 0.1 * len(CIPHERS)))
         self.floor = {s: math.log(0.1 / (t + 0.1 * len(CIPHERS))) for s, t in totals.items()}
-        self.tables: dict[int, tuple[dict[int, str], re.Pattern | None, dict[str, str]]] = {}
         by: dict[int, dict[str, str]] = defaultdict(dict)
         for (k, unit), letter in letters.items():
             by[k][unit] = letter
-        for k, table in by.items():
-            long = sorted((u for u in table if len(u) > 1), key=len, reverse=True)
-            self.tables[k] = ({ord(u): c for u, c in table.items() if len(u) == 1}, re.compile("|".join(map(re.escape, long))) if long else None, table)
+        #: By cipher: the table of single characters, the table of longer units, and their lengths.
+        self.tables = {k: ({ord(u): c for u, c in table.items() if len(u) == 1}, table, sorted({len(u) for u in table} - {1}, reverse=True)) for k, table in by.items()}
 
-    def log_prior(self, source: str, k: int) -> float:
+    def log_prior(self, source: int, k: int) -> float:
         return self.prior.get((source, k), self.floor.get(source, 0.0))
 
     def translate(self, text: str, k: int) -> str:
-        """*text* through the learnt table of cipher *k*."""
+        """*text* through the learnt table of cipher *k*; what the table does not hold stays."""
         if k not in self.tables:
             return text
-        single, long, table = self.tables[k]
-        text = text.translate(single)
-        return long.sub(lambda m: table[m[0]], text) if long else text
+        single, table, lengths = self.tables[k]
+        if lengths:
+            out, i = [], 0
+            while i < len(text):
+                for n in lengths:
+                    if (c := table.get(text[i : i + n])) is not None and i + n <= len(text):
+                        out.append(c)
+                        i += n
+                        break
+                else:
+                    out.append(text[i].translate(single))
+                    i += 1
+            return "".join(out)
+        return text.translate(single)
 
 
 NO_KEY = Key({}, {})
 
 
-def offers(text: str, model: Bigrams) -> dict[int, list[Reading]]:
-    """The readings of each line that has any."""
-    found = ((n, list(readings(line, model))) for n, line in enumerate(text.split("\n")) if not line.isascii())
+def offers(text: str, model: Bigrams, surprises: list[float]) -> dict[int, list[Reading]]:
+    """The readings of each line that has any; lines with little surprise are right as they stand."""
+    if max(surprises, default=0.0) < SURPRISE:
+        return {}
+    found = ((n, list(readings(line, model))) for n, (line, cost) in enumerate(zip(text.split("\n"), surprises, strict=True)) if cost >= SURPRISE)
     return {n: r for n, r in found if r}
 
 
@@ -368,8 +458,8 @@ def unpacked(text: str) -> dict[int, list[Reading]]:
     return out
 
 
-def expect(texts: Iterable[tuple[str, str, dict[int, list[Reading]]]], key: Key) -> tuple[Counter, Counter]:
-    """E step over (source, text, readings by line): expected uses by (source, cipher) and of (cipher, unit, letter)."""
+def expect(texts: Iterable[tuple[int, str, dict[int, list[Reading]]]], key: Key) -> tuple[Counter, Counter]:
+    """E step over (group of sources, text, readings by line): expected uses by (group, cipher) and of (cipher, unit, letter)."""
     used: Counter = Counter()
     letters: Counter = Counter()
     number = {c: k for k, c in enumerate(CIPHERS)}
@@ -396,28 +486,47 @@ def expect(texts: Iterable[tuple[str, str, dict[int, list[Reading]]]], key: Key)
     return used, letters
 
 
-def restore(text: str, source: str, model: Bigrams, key: Key, offered: dict[int, list[Reading]], times: int = 3) -> tuple[str, int, int]:
-    """The text restored as far as possible, runs restored, and characters lost for good; lines that change are read again."""
+def applied(garbled: str, r: Reading, key: Key, k: int) -> tuple[str, bool]:
+    """A run by the learnt table of its cipher, and whether the exact check agrees; else by the encodings.
+
+    The check: written in the cipher's encoding and read in the wrong one, the text is the run again.
+    """
+    plain = key.translate(garbled, k)
+    try:
+        data = to_bytes(garbled, r.cipher[0])
+        right = plain != garbled and plain.encode(r.cipher[1]) == data
+    except UnicodeEncodeError:
+        right = False
+    if right and r.plain != plain:  # garbled more than once: the reading went on
+        again = decipher(plain, r.cipher)
+        right = again is None or again != r.plain
+    return (plain, True) if right and len(plain) <= len(r.plain) else (r.plain, False)
+
+
+def restore(text: str, source: int, model: Bigrams, key: Key, offered: dict[int, list[Reading]], times: int = 3) -> tuple[str, int, int, int]:
+    """The text restored as far as possible, runs restored, those by the learnt table, and characters lost for good; lines that change are read again."""
     number = {c: k for k, c in enumerate(CIPHERS)}
-    out, fixed, lost = [], 0, 0
+    out, fixed, by_table, lost = [], 0, 0, 0
     for n, line in enumerate(text.split("\n")):
         for round_ in range(times):
             if line.isascii():
                 break
-            best = best_readings(line, source, list(readings(line, model)) if round_ else offered.get(n, []), key, number)
+            best = best_readings(line, source, (list(readings(line, model)) if model.surprise(line) >= SURPRISE else []) if round_ else offered.get(n, []), key, number)
             if not best:
                 break
             fixed += len(best) if not round_ else 0
             damaged = LOST in line
             k = number[best[0].cipher]
             for r in sorted(best, key=lambda r: -r.start):
-                line = line[: r.start] + r.plain + line[r.end :]
+                plain, learnt = applied(line[r.start : r.end], r, key, number[r.cipher])
+                by_table += learnt and not round_
+                line = line[: r.start] + plain + line[r.end :]
             if damaged:
                 line = NON_ASCII.sub(lambda m, k=k: key.translate(m[0], k) if LOST in m[0] else m[0], line)
         for m in re.finditer(LOST + "+", line):
             lost += 0 if mentioned(line, *m.span()) else 1
         out.append(line)
-    return "\n".join(out), fixed, lost
+    return "\n".join(out), fixed, by_table, lost
 
 
 # --- Spark ---------------------------------------------------------------------------------
@@ -432,11 +541,11 @@ def language_model(documents: DataFrame) -> Bigrams:
             p, s = count_bigrams(batch["text"])
             pairs.update(p)
             singles.update(s)
-        rows = [(a, b, n) for (a, b), n in pairs.items()] + [("", c, n) for c, n in singles.items()]
+        rows = [(a, b, n) for (a, b), n in pairs.items()] + [("single", c, n) for c, n in singles.items()]
         yield pd.DataFrame(rows, columns=["a", "b", "n"])
 
     rows = _texts(documents).select("text").mapInPandas(run, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    return Bigrams({(a, b): n for a, b, n in rows if a}, {b: n for a, b, n in rows if not a})
+    return Bigrams({(a, b): n for a, b, n in rows if a != "single"}, {b: n for a, b, n in rows if a == "single"})
 
 
 def candidates(documents: DataFrame, model: Bigrams) -> DataFrame:
@@ -450,13 +559,19 @@ def candidates(documents: DataFrame, model: Bigrams) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Bigrams(*broadcast.value)
+        all_lines = Surprises(m)
         for batch in batches:
-            offered = [offers(text, m) for text in batch["text"]]
+            texts = batch["text"].tolist()
+            offered = [offers(text, m, cost) for text, cost in zip(texts, all_lines.lines(texts), strict=True)]
             batch["offered"] = [packed(o) for o in offered]
-            yield batch[[bool(o) or LOST in text for o, text in zip(offered, batch["text"], strict=True)]]
+            yield batch[[bool(o) or LOST in text for o, text in zip(offered, texts, strict=True)]]
 
     texts = _texts(documents).where(F.col("text").rlike("[^\\x00-\\x7f]"))
-    return checkpoint(texts.mapInPandas(run, "doc_id long, text string, source string, offered string"))
+    return checkpoint(texts.mapInPandas(run, "doc_id long, text string, source int, offered string"))
+
+
+#: Groups of sources: what is learnt by source is learnt by the hash of its name, so that any number of sources is bounded.
+GROUPS = 256
 
 
 def learn(worth: DataFrame, rounds: int = 2) -> Key:
@@ -470,31 +585,29 @@ def learn(worth: DataFrame, rounds: int = 2) -> Key:
             k.prior, k.floor = known
             used, letters = Counter(), Counter()
             for batch in batches:
-                u, x = expect(zip(batch["source"], batch["text"], map(unpacked, batch["offered"]), strict=True), k)
+                u, x = expect(zip(batch["source"].tolist(), batch["text"], map(unpacked, batch["offered"]), strict=True), k)
                 used.update(u)
                 letters.update(x)
-            rows = [(s, c, "", "", w) for (s, c), w in used.items()] + [("", c, u, x, w) for (c, u, x), w in letters.items()]
+            rows = [(s, c, "", "", w) for (s, c), w in used.items()] + [(-1, c, u, x, w) for (c, u, x), w in letters.items()]
             yield pd.DataFrame(rows, columns=["source", "cipher", "unit", "letter", "w"])
 
-        rows = worth.mapInPandas(run, "source string, cipher int, unit string, letter string, w double").groupBy("source", "cipher", "unit", "letter").agg(F.sum("w").alias("w")).collect()
-        top: dict[tuple[int, str], tuple[float, str]] = {}
-        for r in rows:
-            if r.unit:
-                top[(r.cipher, r.unit)] = max(top.get((r.cipher, r.unit), (0.0, "")), (r.w, r.letter))
-        key = Key({(r.source, r.cipher): r.w for r in rows if not r.unit}, {u: x[1] for u, x in top.items()})
+        sums = worth.mapInPandas(run, "source int, cipher int, unit string, letter string, w double").groupBy("source", "cipher", "unit", "letter").agg(F.sum("w").alias("w"))
+        rows = sums.groupBy("source", "cipher", "unit").agg(F.sum("w").alias("w"), F.max_by("letter", F.struct("w", "letter")).alias("letter")).collect()
+        key = Key({(r.source, r.cipher): r.w for r in rows if r.source >= 0}, {(r.cipher, r.unit): r.letter for r in rows if r.source < 0})
     return key
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    source = F.coalesce(F.lower(F.regexp_replace("source", "[^A-Za-z0-9]+", "_")), F.lit("")) if "source" in documents.columns else F.lit("")
+    name = F.coalesce(F.lower(F.regexp_replace("source", "[^A-Za-z0-9]+", "_")), F.lit("")) if "source" in documents.columns else F.lit("")
+    source = F.pmod(F.xxhash64(name), F.lit(GROUPS)).cast("int")
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source.alias("source")).where(F.length("text") > 0), "doc_id")
 
 
-GARBLED = "doc_id long, runs int, lost int, restored string"
+GARBLED = "doc_id long, runs int, by_table int, lost int, restored string"
 
 
 def garbled(documents: DataFrame, rounds: int = 2) -> DataFrame:
-    """``doc_id, runs, lost, restored`` of every garbled document; restored is null if letters are lost."""
+    """``doc_id, runs, by_table, lost, restored`` of every garbled document; restored is null if letters are lost."""
     model = language_model(documents)
     worth = candidates(documents, model)
     key = learn(worth, rounds)
@@ -505,10 +618,10 @@ def garbled(documents: DataFrame, rounds: int = 2) -> DataFrame:
         m = Bigrams(pairs, singles)
         for batch in batches:
             out = []
-            for i, source, text, offered in zip(batch["doc_id"], batch["source"], batch["text"], batch["offered"], strict=True):
-                plain, runs, lost = restore(text, source, m, k, unpacked(offered))
+            for i, source, text, offered in zip(batch["doc_id"], batch["source"].tolist(), batch["text"], batch["offered"], strict=True):
+                plain, runs, by_table, lost = restore(text, source, m, k, unpacked(offered))
                 if runs or lost:
-                    out.append((i, runs, lost, None if lost else plain))
-            yield pd.DataFrame(out, columns=["doc_id", "runs", "lost", "restored"])
+                    out.append((i, runs, by_table, lost, None if lost else plain))
+            yield pd.DataFrame(out, columns=["doc_id", "runs", "by_table", "lost", "restored"])
 
     return worth.mapInPandas(run, GARBLED).dropDuplicates(["doc_id"])

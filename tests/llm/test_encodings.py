@@ -36,3 +36,34 @@ def test_empty(spark):
 def test_decipher_inverts_the_garbling():
     for page in ("cp1252", "latin-1"):
         assert E.decipher(FRENCH.encode("utf-8").decode(page), ("utf-8", page)) == FRENCH or E.decipher(FRENCH.encode("utf-8").decode(page), (page, "utf-8")) == FRENCH
+
+
+def test_learnt_table_restores(spark):
+    """p8: the letters learnt for the units of a cipher restore the runs; the encodings only check them."""
+    bad = [(5000 + i, broken(FRENCH) + f" Cas {i}.", "fr", "issue") for i in range(6)] + [(5100, broken(SPANISH, "mac_roman"), "es", "note")]
+    df = spark.createDataFrame(docs() + bad, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in E.garbled(df).collect()}
+    assert set(found) == {i for i, *_ in bad}
+    assert all(found[5000 + i].by_table == found[5000 + i].runs > 0 for i in range(6))
+    assert found[5100].restored == SPANISH
+
+
+def test_translate_with_units_of_several_characters():
+    key = E.Key({}, {(0, "Ã©"): "é", (0, "â‚¬"): "€", (1, "‚"): "é"})
+    assert key.translate("dÃ©pÃ´t 5 â‚¬", 0) == "dépÃ´t 5 €"
+    assert key.translate("d‚p", 1) == "dép" and key.translate("x", 7) == "x"
+
+
+def test_surprises_of_a_batch_agree_with_single_lines():
+    texts = [t for _, t, *_ in docs()] + [broken(FRENCH) + "\n" + ENGLISH, "", "\n\n", "数据已保存。\nplain", "é"]
+    model = E.Bigrams(*E.count_bigrams(texts))
+    for text, costs in zip(texts, E.Surprises(model).lines(texts), strict=True):
+        lines = text.split("\n")
+        assert len(lines) == len(costs)
+        assert all(line.isascii() or abs(model.surprise(line) - c) < 0.01 for line, c in zip(lines, costs, strict=True))
+
+
+def test_units_align_by_bytes():
+    assert list(E.units("Ã©", "é", ("cp1252", "utf-8"))) == [("Ã©", "é")]
+    gbk = "数据".encode("gbk").decode("latin-1")
+    assert list(E.units(gbk, "数据", ("latin-1", "gbk"))) == [(gbk[:2], "数"), (gbk[2:], "据")]
