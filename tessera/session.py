@@ -38,7 +38,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     that no text is shuffled.
     """
     wanted = parallelism(df.sparkSession)
-    if df.rdd.getNumPartitions() >= wanted // 2:
+    if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(wanted, *keys) if keys else df.repartition(wanted)
 
