@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.expressions import is_external, resolve_path, without_extension
 from tessera.operators.scan import lines
@@ -54,13 +53,17 @@ FUNCTION = {
 CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)(?:\s*(?:extends\s+|\()([A-Za-z_$][A-Za-z0-9_$.]*))?"
 
 
+def _function_name(line: Column, lang: Column) -> Column:
+    """The name that a line declares as a function, empty or null if none."""
+    js = lang.isin("javascript", "typescript", "jsx", "tsx", "vue")
+    either = lambda *ps: reduce(lambda a, b: F.when(F.length(a) > 0, a).otherwise(b), (F.regexp_extract(line, p, 1) for p in ps))
+    return F.when(js, either(FUNCTION["javascript"], FUNCTION["arrow"])).when(lang == "dart", F.regexp_extract(line, FUNCTION["dart"], 1)).when(lang == "python", F.regexp_extract(line, FUNCTION["python"], 1))
+
+
 def functions(files: DataFrame) -> DataFrame:
     """Functions by declaration line: name, whether async and exported, line, and the line before the next declaration."""
     found = lines(files, "file_id", "content", "repo", "file_path", "lang")
-    js = F.col("lang").isin("javascript", "typescript", "jsx", "tsx", "vue")
-    either = lambda *ps: reduce(lambda a, b: F.when(F.length(a) > 0, a).otherwise(b), (F.regexp_extract("line", p, 1) for p in ps))
-    name = F.when(js, either(FUNCTION["javascript"], FUNCTION["arrow"])).when(F.col("lang") == "dart", F.regexp_extract("line", FUNCTION["dart"], 1)).when(F.col("lang") == "python", F.regexp_extract("line", FUNCTION["python"], 1))
-    named = found.withColumn("name", name).where(F.length("name") > 0)
+    named = found.withColumn("name", _function_name(F.col("line"), F.col("lang"))).where(F.length("name") > 0)
     return named.select("file_id", "repo", "file_path", "lang", "name", "line_no", F.col("line").contains("async").alias("is_async"), F.col("line").startswith("export").alias("exported"))
 
 
@@ -69,24 +72,29 @@ def function_bodies(files: DataFrame) -> DataFrame:
 
     The body of a function is the run of lines from its declaration to the first line where the
     running sum of braces returns to zero after it was opened; Python ends at the next
-    declaration of the file.
+    declaration of the file. Everything is computed within the row of a file: nothing is shuffled.
     """
-    declared = functions(files).select("file_id", "repo", "lang", "name", F.col("line_no").alias("start"), "is_async", "exported")
-    following = Window.partitionBy("file_id").orderBy("start")
-    spans = declared.withColumn("next", F.coalesce(F.lead("start").over(following), F.lit(2_000_000_000)))
-    body = lines(files).select("file_id", "line_no", "line")
-    opens = F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))
-    joined = spans.join(body, "file_id").where("line_no >= start and line_no < next")
-    run = Window.partitionBy("file_id", "start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    balanced = joined.withColumn("depth", F.sum(opens).over(run)).withColumn("opened", F.max(F.regexp_count("line", F.lit(r"\{"))).over(run))
-    ended = balanced.withColumn("closed", F.when((F.col("depth") <= 0) & (F.col("opened") > 0) & (F.col("lang") != "python"), F.col("line_no")))
-    first = ended.withColumn("end", F.min("closed").over(Window.partitionBy("file_id", "start")))
-    kept = first.where("end is null or line_no <= end")
-    return kept.groupBy("file_id", "repo", "lang", "name", "start", "is_async", "exported").agg(
-        F.max("line_no").alias("end"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"),
-        F.greatest(F.max("depth"), F.lit(0)).alias("nesting"),
+    text = files.where(F.col("content").isNotNull()).select("file_id", "repo", "lang", F.split("content", "\n", -1).alias("l"))
+    declared = F.filter(
+        F.transform("l", lambda line, i: F.struct((i + 1).alias("start"), _function_name(line, F.col("lang")).alias("name"), line.contains("async").alias("is_async"), line.startswith("export").alias("exported"))),
+        lambda d: F.length(d["name"]) > 0,
     )
+    text = text.withColumn("d", declared).where(F.size("d") > 0)
+    after = lambda k: F.coalesce(F.get("d", k + 1)["start"], F.size("l") + 1)
+    span = F.transform("d", lambda d, k: F.struct(d["name"].alias("name"), d["start"].alias("start"), d["is_async"].alias("is_async"), d["exported"].alias("exported"), F.slice("l", d["start"], after(k) - d["start"]).alias("lines")))
+    rows = text.select("file_id", "repo", "lang", F.explode(span).alias("f")).select("file_id", "repo", "lang", "f.*")
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(0).alias("most"), F.lit(False).alias("opened"), F.lit(None).cast("int").alias("end"))
+
+    def onward(s: Column, line: Column) -> Column:
+        opens = F.regexp_count(line, F.lit(r"\{"))
+        depth, opened = s["depth"] + opens - F.regexp_count(line, F.lit(r"\}")), s["opened"] | (opens > 0)
+        ends = (depth <= 0) & opened & (F.col("lang") != "python")
+        return F.when(s["end"].isNotNull(), s).otherwise(
+            F.struct((s["n"] + 1).alias("n"), depth.alias("depth"), F.greatest(s["most"], depth).alias("most"), opened.alias("opened"), F.when(ends, s["n"] + 1).alias("end"))
+        )
+
+    scanned = rows.withColumn("s", F.aggregate("lines", state, onward))
+    return scanned.select("file_id", "repo", "lang", "name", "start", "is_async", "exported", (F.col("start") + F.col("s.n") - 1).alias("end"), F.array_join(F.slice("lines", F.lit(1), F.col("s.n")), "\n").alias("body"), F.col("s.most").alias("nesting"))
 
 
 def classes(files: DataFrame) -> DataFrame:

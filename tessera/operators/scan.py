@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,9 +22,28 @@ LANGUAGE_OF = {"js": "javascript", "jsx": "jsx", "ts": "typescript", "tsx": "tsx
 EXCLUDED_FOLDERS = ("node_modules", ".git", "dist", "build", "coverage", ".dart_tool", ".idea", ".vscode", "Pods")
 
 
+#: Files delivered more than once, up to which their list is broadcast: three numbers each.
+MOST_REPEATED = 1_000_000
+STORED = ("file_id", "repo", "file_path", "lang", "content")
+
+
 def stored_files(files: DataFrame) -> DataFrame:
-    """Files once each: deliveries repeat a file with the same content."""
-    return files.select("file_id", "repo", "file_path", "lang", "content").dropDuplicates(["file_id"])
+    """Files once each: deliveries repeat a file with the same content.
+
+    No text is shuffled: the deliveries are counted on ``file_id`` and the place of the row in the
+    stored table alone, and surplus ones are left out by a broadcast of the repeated identifiers,
+    whose number is counted first. Beyond ``MOST_REPEATED`` of them, and for tables that are not
+    stored, rows are brought together by identifier.
+    """
+    try:
+        placed = files.select(*STORED, F.struct(F.xxhash64("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row")).alias("_at"))
+    except AnalysisException:
+        return files.select(*STORED).dropDuplicates(["file_id"])
+    repeated = placed.groupBy("file_id").agg(F.min("_at").alias("_first"), F.count("*").alias("n")).where("n > 1").select(F.col("file_id").alias("_id"), "_first")
+    if repeated.limit(MOST_REPEATED + 1).count() > MOST_REPEATED:
+        return placed.select(*STORED).dropDuplicates(["file_id"])
+    once = placed.join(F.broadcast(repeated), F.col("file_id").eqNullSafe(F.col("_id")), "left")
+    return once.where("_first is null or _at = _first").select(*STORED)
 
 
 def scannable(files: DataFrame) -> DataFrame:
