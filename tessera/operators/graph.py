@@ -214,3 +214,64 @@ def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     e = edges.select(F.lit(2).alias("part"), F.format_string('  "%s" -> "%s" [style=%s];', F.col("src").cast("string"), F.col("dst").cast("string"), F.when(F.col("type") == "contains", "dashed").otherwise("solid")).alias("text"))
     frame = nodes.sparkSession.createDataFrame([(0, "digraph G {"), (3, "}")], "part int, text string")
     return frame.unionByName(n).unionByName(e).orderBy("part", "text")
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels ``id, label``: each vertex takes the greatest label that reaches it along the edges, until nothing changes."""
+    while True:
+        into = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("other"))
+        joined = labels.join(into, "id", "left").select("id", F.greatest("label", "other").alias("label"), (F.col("other") > F.col("label")).alias("changed"))
+        now = checkpoint(joined)
+        labels = now.select("id", "label")
+        if now.where("changed").isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id, component``: the strongly connected components of a graph with any number of edges out of a vertex.
+
+    Forward-backward colouring: every vertex takes the greatest vertex that reaches it; those of
+    its colour that reach the vertex of the colour's name are a component. The rest goes round
+    again with the edges that stay within a colour. A component is named by its greatest vertex.
+    Nothing but emptiness is asked by the driver; a hub's edges are combined on the map side.
+    """
+    left = checkpoint(known(edges))
+    ids = checkpoint(vertices(left))
+    out = None
+    while not ids.isEmpty():
+        colour = _spread(left, ids.select("id", F.col("id").alias("label")))
+        within = left.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst")
+        within = checkpoint(within)
+        found = checkpoint(colour.where("id = label").select("id", F.col("label").alias("component")))
+        while True:  # backwards from the vertices that name a colour
+            more = within.join(found.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "component").distinct()
+            fresh = checkpoint(more.join(found, "id", "left_anti"))
+            if fresh.isEmpty():
+                break
+            found = checkpoint(found.unionByName(fresh))
+        out = found if out is None else out.unionByName(found)
+        ids = checkpoint(ids.join(found, "id", "left_anti"))
+        left = checkpoint(within.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    return ids.select("id", F.col("id").alias("component")) if out is None else out
+
+
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """The edges between components; they hold no cycle."""
+    at = lambda end: components.select(F.col("id").alias(end), F.col("component").alias(f"{end}_c"))
+    joined = known(edges).join(at("src"), "src").join(at("dst"), "dst")
+    return joined.where("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct()
+
+
+def longest_depths(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, depth``: for each component the most edges of a walk that ends there; *edges* must hold no cycle.
+
+    As many rounds as the longest walk is long; every vertex carries its depth along.
+    """
+    depth = checkpoint(components.select(F.col("component").alias("id"), F.lit(0).alias("label")).distinct())
+    e = checkpoint(edges)
+    while True:
+        into = e.join(depth.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("label") + 1).alias("other"))
+        now = checkpoint(depth.join(into, "id", "left").select("id", F.greatest("label", "other").alias("label"), (F.col("other") > F.col("label")).alias("changed")))
+        depth = now.select("id", "label")
+        if now.where("changed").isEmpty():
+            return depth.select("id", F.col("label").alias("depth"))

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold queries.
-MODULES = ("nested_plans", "scan_plans", "graph_plans", "rollup_plans", "search_plans", "diff_plans", "source_plans", "flow_plans")
+MODULES = ("nested_plans", "scan_plans", "graph_plans", "rollup_plans", "search_plans", "diff_plans", "source_plans", "flow_plans", "link_plans", "insight_plans")
 
 
 def _parts() -> list:
