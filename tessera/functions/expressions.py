@@ -82,6 +82,7 @@ PURPOSES = (
     ("validation", ("validate", "check", "verify", "is"), (), ()),
     ("utility", ("format", "parse", "convert", "transform", "to", "util"), (), ()),
     ("render", ("draw",), (), ()),
+    ("constructor", (), (), ()),
     ("accessor", (), ("get_", "set_"), ()),
 )
 
@@ -94,6 +95,8 @@ def purposes(name: Column, body: Column) -> Column:
         tests = [n.contains(p) for p in parts] + [n.startswith(s) for s in starts] + [b.contains(i) for i in inner]
         if label == "render":
             tests += [n.isin("render", "build")]
+        if label == "constructor":
+            tests += [n.isin("constructor", "__init__", "init")]
         if label == "accessor":
             tests += [(n.startswith("get") | n.startswith("set")) & (F.length(n) > 3)]
         hits.append(F.when(reduce(lambda x, y: x | y, tests), F.lit(label)))
@@ -157,20 +160,33 @@ def file_type(path: Column) -> Column:
     )
 
 
+#: Purposes of classes, and what their names hold.
+CLASS_PURPOSES = (
+    ("ui-component", ("component", "view", "page", "screen")),
+    ("service", ("service", "handler", "manager")),
+    ("data-model", ("model", "entity", "dto", "data")),
+    ("utility", ("util", "helper", "tool")),
+    ("configuration", ("config", "settings", "options")),
+    ("constants", ("constant", "enum")),
+)
+
+
 def class_purpose(name: Column) -> Column:
-    """Purpose of a class by its name: the first test that holds."""
+    """Purpose of a class by its name: the first test that holds, else "class"."""
     n = F.lower(name)
-    rules = (("component", ("widget", "component", "view", "panel")), ("service", ("service",)), ("repository", ("repository",)), ("controller", ("controller",)), ("model", ("model", "entity")), ("store", ("store", "state")), ("runner", ("runner",)))
     out = F.when(F.lit(False), "")
-    for label, parts in rules:
+    for label, parts in CLASS_PURPOSES:
         out = out.when(reduce(lambda a, b: a | b, (n.contains(p) for p in parts)), label)
-    return out.otherwise("unknown")
+    return out.otherwise("class")
 
 
 # --- imports and paths ----------------------------------------------------------------------
 
 #: Modules that come with the runtime.
-BUILT_IN_MODULES = "fs path os util crypto http https events stream child_process url querystring buffer assert zlib net tls dns readline vm worker_threads".split()
+BUILT_IN_MODULES = (
+    "fs path http https url querystring util events stream buffer crypto os net tls cluster child_process worker_threads vm assert "
+    "console timers module process readline repl zlib punycode domain dgram dns"
+).split()
 
 
 def is_external(source: Column) -> Column:

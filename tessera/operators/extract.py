@@ -155,3 +155,33 @@ def file_tree(paths: DataFrame) -> DataFrame:
 def same_stem(found: DataFrame) -> Column:
     """Helper: the path without extension."""
     return without_extension(F.col("file_path"))
+
+
+def balanced_lines(text: Column, by_braces: Column | None = None) -> Column:
+    """How many of an array of lines it takes until the braces that opened first are closed; all if they never are."""
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(False).alias("done"))
+
+    def onward(s: Column, line: Column) -> Column:
+        opens = F.regexp_count(line, F.lit(r"\{"))
+        depth, opened = s["depth"] + opens - F.regexp_count(line, F.lit(r"\}")), s["opened"] | (opens > 0)
+        return F.when(s["done"], s).otherwise(F.struct((s["n"] + 1).alias("n"), depth.alias("depth"), opened.alias("opened"), ((depth <= 0) & opened & (F.lit(True) if by_braces is None else by_braces)).alias("done")))
+
+    return F.aggregate(text, state, onward)["n"]
+
+
+#: What counts as a method or a field within the body of a class.
+METHOD = r"^\s+(?:@?[A-Za-z_<>\[\], ?]+\s+)?(?:async\s+)?(?:def\s+)?(?!(?:if|for|while|switch|catch|return|function)\b)[A-Za-z_][A-Za-z0-9_]*\([^;]*\)[^;]*[{:]\s*$"
+FIELD = r"^\s+(?:this\.[A-Za-z_][A-Za-z0-9_]*\s*=|self\.[A-Za-z_][A-Za-z0-9_]*\s*=|(?:private |public |protected )?(?:readonly |static |final |late )+[A-Za-z_])"
+
+
+def class_bodies(files: DataFrame) -> DataFrame:
+    """Classes with their body and the number of methods and fields in it, all within the row of a file."""
+    text = files.where(F.col("content").isNotNull() & F.col("lang").isin("javascript", "typescript", "jsx", "tsx", "vue", "dart", "python")).select("file_id", "repo", "lang", F.split("content", "\n", -1).alias("l"))
+    declared = F.filter(F.transform("l", lambda line, i: F.struct((i + 1).alias("start"), F.regexp_extract(line, CLASS, 1).alias("name"))), lambda d: F.length(d["name"]) > 0)
+    text = text.withColumn("d", declared).where(F.size("d") > 0)
+    after = lambda k: F.coalesce(F.get("d", k + 1)["start"], F.size("l") + 1)
+    rows = text.select("file_id", "repo", "lang", F.explode(F.transform("d", lambda d, k: F.struct(d["name"].alias("name"), d["start"].alias("start"), F.slice("l", d["start"], after(k) - d["start"]).alias("lines")))).alias("c")).select("file_id", "repo", "lang", "c.*")
+    rows = rows.withColumn("lines", F.slice("lines", F.lit(1), balanced_lines(F.col("lines"), F.col("lang") != "python")))
+    inner = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    many = lambda p: F.size(F.filter(inner, lambda x: x.rlike(p)))
+    return rows.select("file_id", "repo", "lang", "name", "start", F.array_join("lines", "\n").alias("body"), many(METHOD).alias("methods"), many(FIELD).alias("fields"))

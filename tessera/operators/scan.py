@@ -135,23 +135,36 @@ def insert_lines(text: DataFrame, inserts: DataFrame) -> DataFrame:
 
 _CODE = "(?i)"
 #: Detectors that look at one line: language or None, condition, message code.
+#: Objects that are always there.
+BUILT_IN_OBJECTS = (
+    "console window document navigator history location setTimeout setInterval clearTimeout clearInterval Promise Array Object String Number Boolean Date Math JSON RegExp Error Map Set WeakMap WeakSet "
+    "parseInt parseFloat isNaN isFinite decodeURI decodeURIComponent encodeURI encodeURIComponent escape unescape React Component useState useEffect useContext useRef useMemo useCallback useReducer "
+    "useLayoutEffect useImperativeHandle BuildContext Widget StatefulWidget StatelessWidget setState initState dispose build InheritedWidget axios fetch lodash _ $ jQuery moment dayjs"
+).split()
+#: Conditions of lines that may crash or leak, for script languages and for Dart.
 CRASH = {
-    "CRASH-001": lambda x: x.rlike(r"\[[A-Za-z0-9_]+\]") & ~x.contains("length") & ~x.contains("?."),
-    "CRASH-002": lambda x: x.contains("JSON.parse(") & ~x.contains("try"),
-    "CRASH-003": lambda x: x.contains(".first") & ~x.contains("isNotEmpty") & ~x.contains("firstOrNull"),
-    "CRASH-004": lambda x: x.rlike(r"[A-Za-z0-9_]!\."),
+    "AI-CRASH-001": ("script", lambda x: ~x.contains("?.") & x.rlike(r"[A-Za-z0-9_]+\.[A-Za-z0-9_]+[.(]") & ~x.contains("!= null") & ~x.contains("!== null") & ~x.contains("if") & ~F.regexp_extract(x, r"([A-Za-z0-9_]+)\.[A-Za-z0-9_]+", 1).isin(BUILT_IN_OBJECTS)),
+    "AI-CRASH-002": ("script", lambda x: x.rlike(r"[A-Za-z0-9_]+\[[A-Za-z0-9_]+\]") & ~x.contains(".length") & ~x.contains(".map") & ~x.contains(".filter")),
+    "AI-CRASH-003": ("script", lambda x: x.contains("JSON.parse") & ~x.contains("try")),
+    "AI-CRASH-004": ("script", lambda x: x.rlike(r"/\s*[A-Za-z0-9_]+") & ~x.contains("!== 0") & ~x.contains("!= 0")),
+    "AI-CRASH-005": ("dart", lambda x: x.contains("!") & x.contains(".") & ~x.contains("?")),
 }
 LEAK = {
-    "MEM-001": lambda x: x.contains("addEventListener(") | x.contains("setInterval(") & ~x.contains("clearInterval"),
-    "MEM-002": lambda x: x.contains(".listen(") & ~x.contains("cancel"),
-    "MEM-003": lambda x: x.contains("new Map(") & x.contains("static"),
+    "AI-MEM-001": ("script", lambda x: x.contains("useEffect") & x.contains("setInterval") | x.contains("addEventListener")),
+    "AI-MEM-002": ("script", lambda x: x.contains("useEffect") & ~x.contains("],")),
+    "AI-MEM-003": ("script", lambda x: x.contains("useState") & x.contains("[]")),
+    "AI-MEM-004": ("dart", lambda x: x.contains("StatefulWidget") & ~x.contains("dispose")),
 }
+SCRIPTS = ("javascript", "typescript", "jsx", "tsx", "vue")
 
 
 def flagged(found: DataFrame, detectors: dict, *keep: str) -> DataFrame:
-    """One row per line and detector that fires."""
-    tests = F.array(*(F.when(test(F.col("line")), F.lit(code)) for code, test in detectors.items()))
-    return found.select(*keep, "line_no", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("code"))
+    """One row per line and detector that fires; blank lines and comments have none. Needs ``lang``."""
+    text = F.regexp_replace("line", r"^\s+|\s+$", "")
+    kinds = {"script": F.col("lang").isin(*SCRIPTS), "dart": F.col("lang") == "dart"}
+    tests = F.array(*(F.when(kinds[kind] & test(F.col("text")), F.lit(code)) for code, (kind, test) in detectors.items()))
+    code = found.withColumn("text", text).where((F.length("text") > 0) & ~F.col("text").startswith("//") & ~((F.col("lang") != "dart") & F.col("text").startswith("/*")))
+    return code.select(*keep, "line_no", F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("code"))
 
 
 def dead_code(line: Column) -> Column:

@@ -302,24 +302,34 @@ SQL = {
     "required_nullable": _sql_where("regexp_matches(line, 'required\\s+[A-Za-z0-9_<>]+\\?\\s+[a-z]')"),
     "find_results": _sql_where("contains(line, '.find(') AND NOT (contains(line, '?.') OR contains(line, '??') OR regexp_matches(line, 'if\\s*\\(') OR contains(line, '||') OR regexp_matches(line, '\\?[^:]*:') OR regexp_matches(line, '^\\s*(const|let|var)\\s+[A-Za-z0-9_]+\\s*='))"),
     "force_unwraps": _sql_where("regexp_matches(line, '[A-Za-z0-9_]!\\s*[^=;,)\\s]') AND NOT contains(line, '?.') AND NOT contains(line, '??') AND NOT contains(line, '!=')"),
-    "crash_lines": " UNION ALL ".join(
-        f"SELECT file_id, line_no, '{c}' AS code FROM {LINES} WHERE {w}"
-        for c, w in (
-            ("CRASH-001", "regexp_matches(line, '\\[[A-Za-z0-9_]+\\]') AND NOT contains(line, 'length') AND NOT contains(line, '?.')"),
-            ("CRASH-002", "contains(line, 'JSON.parse(') AND NOT contains(line, 'try')"),
-            ("CRASH-003", "contains(line, '.first') AND NOT contains(line, 'isNotEmpty') AND NOT contains(line, 'firstOrNull')"),
-            ("CRASH-004", "regexp_matches(line, '[A-Za-z0-9_]!\\.')"),
-        )
-    ),
-    "leak_lines": " UNION ALL ".join(
-        f"SELECT file_id, line_no, '{c}' AS code FROM {LINES} WHERE {w}"
-        for c, w in (
-            ("MEM-001", "contains(line, 'addEventListener(') OR contains(line, 'setInterval(') AND NOT contains(line, 'clearInterval')"),
-            ("MEM-002", "contains(line, '.listen(') AND NOT contains(line, 'cancel')"),
-            ("MEM-003", "contains(line, 'new Map(') AND contains(line, 'static')"),
-        )
-    ),
 }
+_TRIMMED = f"""(SELECT file_id, lang, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS x FROM {LINES})"""
+
+
+def _flag_sql(rows) -> str:
+    return " UNION ALL ".join(
+        f"SELECT file_id, line_no, '{code}' AS code FROM {_TRIMMED} WHERE x <> '' AND NOT starts_with(x, '//') AND " + ("lang = 'dart'" if kind == "dart" else "lang IN ('javascript', 'typescript', 'jsx', 'tsx', 'vue') AND NOT starts_with(x, '/*')") + f" AND ({test})"
+        for code, kind, test in rows
+    )
+
+
+SQL["crash_lines"] = _flag_sql(
+    (
+        ("AI-CRASH-001", "script", f"x NOT LIKE '%?.%' AND regexp_matches(x, '\\w+\\.\\w+[.(]') AND x NOT LIKE '%!= null%' AND x NOT LIKE '%!== null%' AND x NOT LIKE '%if%' AND regexp_extract(x, '(\\w+)\\.\\w+', 1) NOT IN ({', '.join(repr(o) for o in scan.BUILT_IN_OBJECTS)})"),
+        ("AI-CRASH-002", "script", "regexp_matches(x, '\\w+\\[\\w+\\]') AND x NOT LIKE '%.length%' AND x NOT LIKE '%.map%' AND x NOT LIKE '%.filter%'"),
+        ("AI-CRASH-003", "script", "x LIKE '%JSON.parse%' AND x NOT LIKE '%try%'"),
+        ("AI-CRASH-004", "script", "regexp_matches(x, '/\\s*\\w+') AND x NOT LIKE '%!== 0%' AND x NOT LIKE '%!= 0%'"),
+        ("AI-CRASH-005", "dart", "x LIKE '%!%' AND x LIKE '%.%' AND x NOT LIKE '%?%'"),
+    )
+)
+SQL["leak_lines"] = _flag_sql(
+    (
+        ("AI-MEM-001", "script", "x LIKE '%useEffect%' AND x LIKE '%setInterval%' OR x LIKE '%addEventListener%'"),
+        ("AI-MEM-002", "script", "x LIKE '%useEffect%' AND x NOT LIKE '%],%'"),
+        ("AI-MEM-003", "script", "x LIKE '%useState%' AND x LIKE '%[]%'"),
+        ("AI-MEM-004", "dart", "x LIKE '%StatefulWidget%' AND x NOT LIKE '%dispose%'"),
+    )
+)
 SQL["tree_metrics"] = f"SELECT depth, kind, count(*) AS n FROM ({SQL['file_tree']}) GROUP BY ALL"
 _COUNT = lambda p: f"len(regexp_extract_all(body, '{p}'))"
 _BODIES = f"""(WITH l AS (SELECT * FROM {LINES}),
@@ -349,8 +359,8 @@ _EXTERNAL = f"(source IN ({', '.join(repr(m) for m in X.BUILT_IN_MODULES)}) OR N
 SQL["js_imports"] = f"SELECT lang, source, count(*) AS imports, max({_EXTERNAL}::INT) AS external FROM {_IMPORTS} GROUP BY lang, source"
 _CLASS = extract.CLASS.replace("'", "''")
 _CLASSES = f"(SELECT file_id, repo, file_path, lang, line_no, regexp_extract(line, '{_CLASS}', 1) AS name, regexp_extract(line, '{_CLASS}', 2) AS super_class FROM {LINES} WHERE lang IN ('javascript','typescript','jsx','tsx','vue','dart','python') AND regexp_extract(line, '{_CLASS}', 1) <> '')"
-SQL["class_list"] = f"""SELECT lang, CASE WHEN regexp_matches(lower(name), 'widget|component|view|panel') THEN 'component' WHEN contains(lower(name), 'service') THEN 'service' WHEN contains(lower(name), 'repository') THEN 'repository' WHEN contains(lower(name), 'controller') THEN 'controller'
-    WHEN regexp_matches(lower(name), 'model|entity') THEN 'model' WHEN regexp_matches(lower(name), 'store|state') THEN 'store' WHEN contains(lower(name), 'runner') THEN 'runner' ELSE 'unknown' END AS purpose, super_class, count(*) AS classes FROM {_CLASSES} GROUP BY ALL"""
+SQL["class_list"] = f"""SELECT lang, CASE WHEN regexp_matches(lower(name), 'component|view|page|screen') THEN 'ui-component' WHEN regexp_matches(lower(name), 'service|handler|manager') THEN 'service' WHEN regexp_matches(lower(name), 'model|entity|dto|data') THEN 'data-model'
+    WHEN regexp_matches(lower(name), 'util|helper|tool') THEN 'utility' WHEN regexp_matches(lower(name), 'config|settings|options') THEN 'configuration' WHEN regexp_matches(lower(name), 'constant|enum') THEN 'constants' ELSE 'class' END AS purpose, super_class, count(*) AS classes FROM {_CLASSES} GROUP BY ALL"""
 SQL["file_types"] = f"""WITH p AS (SELECT lower(list_last(string_split(file_path, '/'))) AS name, lower(regexp_replace(file_path, '/[^/]*$', '')) AS folder FROM {FILES}), q AS (SELECT *, regexp_extract(name, '(\\.[^.]*)$', 1) AS ext FROM p)
     SELECT CASE WHEN ext IN ('.vue', '.jsx', '.tsx') THEN 'component' WHEN regexp_matches(folder, 'page|screen|view') THEN 'page' WHEN regexp_matches(folder, 'service|api') OR regexp_matches(name, 'service|api') THEN 'service' WHEN regexp_matches(folder, 'util|helper') OR regexp_matches(name, 'util|helper') THEN 'utility'
         WHEN regexp_matches(folder, 'constant|config') OR regexp_matches(name, 'constant|config') THEN 'config' WHEN suffix(name, '.d.ts') OR regexp_matches(folder, 'types|interfaces') THEN 'type' WHEN ext IN ('.css', '.scss', '.sass', '.less', '.styl') THEN 'style' WHEN regexp_matches(name, '\\.test\\.|\\.spec\\.|__tests__') THEN 'test'
@@ -362,13 +372,27 @@ SQL["undefined_calls"] = f"""WITH c AS (SELECT DISTINCT file_id, unnest(regexp_e
     SELECT file_id, name FROM c WHERE name NOT IN ({", ".join(f"'{k}'" for k in _KEYWORDS)}) EXCEPT SELECT file_id, name FROM k"""
 
 
+#: The purposes of functions, said again in SQL: name n and body b in lower case.
+_PURPOSE_TESTS = (
+    ("create", "regexp_matches(n, 'create|add|insert|post')"),
+    ("read", "regexp_matches(n, 'read|get|fetch|find|query|list')"),
+    ("update", "regexp_matches(n, 'update|edit|modify|put|patch')"),
+    ("delete", "regexp_matches(n, 'delete|remove|destroy')"),
+    ("event-handler", "regexp_matches(n, '^(on|handle)') OR b LIKE '%addeventlistener%' OR contains(b, '.on(')"),
+    ("lifecycle", "regexp_matches(n, 'init|mount|will|did')"),
+    ("hook", "regexp_matches(n, '^use')"),
+    ("api-call", "contains(b, 'fetch(') OR contains(b, 'axios.') OR contains(b, 'http.') OR contains(b, '.get(') OR contains(b, '.post(')"),
+    ("state-management", "contains(b, 'setstate') OR contains(b, 'dispatch') OR contains(b, 'usestate') OR contains(b, 'usereducer')"),
+    ("validation", "regexp_matches(n, 'validate|check|verify|is')"),
+    ("utility", "regexp_matches(n, 'format|parse|convert|transform|to|util')"),
+    ("render", "n IN ('render', 'build') OR n LIKE '%draw%'"),
+    ("constructor", "n IN ('constructor', '__init__', 'init')"),
+    ("accessor", "regexp_matches(n, '^(get|set)(_|.)')"),
+)
+
+
 def _purpose_sql() -> str:
-    tests = []
-    for label, parts, starts, inner in X.PURPOSES:
-        t = [f"contains(n, '{p}')" for p in parts] + [f"starts_with(n, '{p}')" for p in starts] + [f"contains(b, '{p}')" for p in inner]
-        t += ["n IN ('render', 'build')"] if label == "render" else ["(starts_with(n, 'get') OR starts_with(n, 'set')) AND length(n) > 3"] if label == "accessor" else []
-        tests.append(f"CASE WHEN {' OR '.join(t)} THEN '{label}' END")
-    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+    return f"list_filter([{', '.join(f'CASE WHEN {test} THEN {label!r} END' for label, test in _PURPOSE_TESTS)}], lambda x: x IS NOT NULL)"
 
 
 SQL["function_purposes"] = f"""WITH f AS (SELECT name, lower(name) AS n, lower(body) AS b FROM {_BODIES}), p AS (SELECT *, {_purpose_sql()} AS p FROM f)
