@@ -22,14 +22,16 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import ShardIndex, required
 from tessera.session import spread
 
-#: Characters of a chunk, and of the text after it that a match may reach into.
-CHUNK, BEYOND = 32_768, 400
+#: Characters of a chunk; of the text around it that is searched at first; and of the text behind
+#: it that is indexed with it, so that a match which begins in it finds all of its grams.
+CHUNK, BEYOND, AHEAD = 32_768, 400, 32_768
 
 
 class Hit(NamedTuple):
@@ -223,6 +225,8 @@ DETECTORS = (
     Detector("opaque_comment", re.compile(r"^[ \t]*(?://+|#+|\*|/\*+|<!--|--)(?P<lead>[^\n]*?)(?<![A-Za-z0-9+/_.-])(?P<v>[A-Za-z0-9+/_-]{32,}={0,2})(?![A-Za-z0-9+/_=.-])", re.M), _opaque_comment, many=True),
     Detector("joined_literals", re.compile(r"""(?P<q>["'`])[A-Za-z0-9+/=_.-]{4,}(?P=q)(?:(?: \+|\+| \\)?(?:[ \t]*\r?\n)?[ \t]*(?P=q)[A-Za-z0-9+/=_.-]{4,}(?P=q))+|(?P<p>["'`])[A-Za-z0-9+/=_.-]{4,}(?P=p) \+ (?P=p)[A-Za-z0-9+/=_.-]{4,}(?P=p)"""), _joined),
 )
+#: The same expressions in an engine that tells whether a match could go on beyond the end of the text.
+PARTIAL = {d.name: regex.compile(d.shape.pattern, (regex.I if d.shape.flags & re.I else 0) | (regex.M if d.shape.flags & re.M else 0)) for d in DETECTORS}
 PLANS = {d.name: required(d.shape.pattern) for d in DETECTORS}
 # What can follow the quote that ends the first of two joined literals, each way the expression lets them meet.
 GAPS = ("+", " +", " \\", "\t", "\r\n", *("\n" + c for c in " \t"), *(" " + c for c in " \t\r\n"))
@@ -241,15 +245,31 @@ def chunks(text: str) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def reach(text: str, d: Detector, lo: int, hi: int) -> int:
+    """Where to end the search in a chunk: so far that no match which begins in it is cut off.
+
+    The end is moved on as long as a match that begins before the chunk's end could go on there.
+    """
+    end = min(len(text), hi + BEYOND)
+    while end < len(text):
+        last = None
+        for last in PARTIAL[d.name].finditer(text, max(lo, hi - CHUNK), end, partial=True):
+            pass
+        if last is None or last.start() >= hi or last.end() < end:
+            return end
+        end = min(len(text), hi + 4 * (end - hi))
+    return end
+
+
 def scan(texts: list[str]) -> Iterator[tuple[int, list[Hit]]]:
     """Ordinal and findings of every text that has any; the texts are one shard."""
     pieces = [(n, *span) for n, text in enumerate(texts) for span in chunks(text)]
-    index = ShardIndex([texts[n][max(0, lo - BEYOND) : hi + BEYOND] for n, lo, hi in pieces], PLANS)
+    index = ShardIndex([texts[n][max(0, lo - BEYOND) : hi + AHEAD] for n, lo, hi in pieces], PLANS)
     raw: dict[int, list[tuple[bool, int, list[tuple[int, int]], str]]] = {}
     for d in DETECTORS:
         for k in index.candidates(d.name):
             n, lo, hi = pieces[k]
-            for m in d.shape.finditer(texts[n], max(0, lo - BEYOND), min(len(texts[n]), hi + BEYOND)):
+            for m in d.shape.finditer(texts[n], max(0, lo - BEYOND), reach(texts[n], d, lo, hi)):
                 spans = d.accept(m)
                 for own in [[x] for x in spans] if d.many else [spans] if spans else []:
                     if lo <= (m.start() if d.many else own[0][0]) < hi:

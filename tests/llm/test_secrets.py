@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 from hypothesis import given
@@ -103,3 +105,19 @@ def test_all_tokens_of_a_comment_line_are_masked():
     text = f"// old access {a} and then {b} in use\n// sha256 {'0f' * 32} was signed using {b}\n"
     (_, hits), = secrets.scan([text])
     assert secrets.redact(text, hits) == f"// old access REDACTED and then REDACTED in use\n// sha256 {'0f' * 32} was signed using REDACTED\n"
+
+
+def test_matches_across_the_end_of_a_chunk():
+    """p1: a value that begins in one chunk and ends far within the next, wherever the chunk ends."""
+    a, b = "tK9vQ2mZx7Lw4RbN8sYd", "Hf3Jc6Ge1Pu5Ao0Ti"
+    for gap in (10, 500, 3000):
+        secret = f'const apiToken = "{a}" +{chr(10)}{" " * gap}"{b}";\n'
+        for before in range(secrets.CHUNK - 60, secrets.CHUNK + 20, 16):
+            text = "// a plain line\n" * (before // 16) + secret + "// a plain line\n" * 4000
+            found = [h for _, hits in secrets.scan([text]) for h in hits if h.kind]
+            assert len(found) == 1 and text[found[0].start : found[0].end] == a, (gap, before)
+    value = "".join(random.Random(3).choices(string.ascii_letters + string.digits + "$!@%", k=700))
+    long = f"const password = '{value}';\n"
+    text = "// a plain line\n" * (secrets.CHUNK // 16 - 1) + long + "// a plain line\n" * 3000
+    found = [h for _, hits in secrets.scan([text]) for h in hits if h.kind]
+    assert [text[h.start : h.end] for h in found] == [value]
