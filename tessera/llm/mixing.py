@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.session import spread
+from tessera.session import checkpoint, spread
 
 #: Hash buckets of a source for running sums.
 BUCKETS = 1024
@@ -115,11 +115,11 @@ def slopes(shares: dict[str, float], repeats: dict[str, int]) -> dict[str, float
 
 def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, tokenizer: tuple[str, str] | None = None) -> DataFrame:
     """``doc_id, copy_no, source, n_tokens, position`` in training order."""
-    counted = token_counts(documents, *(tokenizer or (None, None))).where("n_tokens > 0").persist()
+    counted = checkpoint(token_counts(documents, *(tokenizer or (None, None))).where("n_tokens > 0"))  # three numbers a document, read twice
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
     wanted = {r.source: (float(r.share), int(r.cap)) for r in targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("cap")).where("source is not null and target_share is not null").toLocalIterator()}
     listed = counted.where(F.col("source").isin(sorted(wanted))).withColumn("bucket", bucket)
-    sums = listed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")).persist()
+    sums = listed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     available = {r.source: int(r.n) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one figure for each listed source
     demand = demands(available, wanted, total)
     spark = documents.sparkSession
