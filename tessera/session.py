@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -47,8 +48,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder of the session.
 
     The folder named in ``spark.checkpoint.dir`` is shared by all executors, so the result
-    outlives any of them. Only where the session names none (tests on one machine) a
-    temporary folder is set.
+    outlives any of them. Only a local session may name none (tests on one machine): then a
+    temporary folder is set. Files of checkpoints that nothing refers to any more are cleaned up
+    where ``spark.cleaner.referenceTracking.cleanCheckpoints`` says so, as in ``build``.
     """
     _shared(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -57,7 +59,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def _shared(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
         sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
