@@ -216,14 +216,20 @@ def dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return frame.unionByName(n).unionByName(e).orderBy("part", "text")
 
 
+#: Steps along the edges between two checkpoints.
+HOPS = 3
+
+
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels ``id, label``: each vertex takes the greatest label that reaches it along the edges, until nothing changes."""
     while True:
-        into = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("other"))
-        joined = labels.join(into, "id", "left").select("id", F.greatest("label", "other").alias("label"), (F.col("other") > F.col("label")).alias("changed"))
-        now = checkpoint(joined)
+        at = labels.select("id", "label", F.col("label").alias("first"))
+        for _ in range(HOPS):
+            into = edges.join(at.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("other"))
+            at = at.join(into, "id", "left").select("id", F.greatest("label", "other").alias("label"), "first")
+        now = checkpoint(at)
         labels = now.select("id", "label")
-        if now.where("changed").isEmpty():
+        if now.where("label > first").isEmpty():
             return labels
 
 
@@ -244,7 +250,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         within = checkpoint(within)
         found = checkpoint(colour.where("id = label").select("id", F.col("label").alias("component")))
         while True:  # backwards from the vertices that name a colour
-            more = within.join(found.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "component").distinct()
+            more = found
+            for _ in range(HOPS):
+                more = more.unionByName(within.join(more.select(F.col("id").alias("dst"), "component"), "dst").select(F.col("src").alias("id"), "component")).distinct()
             fresh = checkpoint(more.join(found, "id", "left_anti"))
             if fresh.isEmpty():
                 break

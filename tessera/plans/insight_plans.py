@@ -68,7 +68,8 @@ def inferred_rules(spark, folder):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))
     d = table(spark, folder, "documents").where(F.length("text") > 0).select("doc_id", words.alias("words")).where(F.size("words") > 0)
     held = lambda text: F.size(F.filter("words", lambda w: F.lit(text).contains(w)))
-    scores = F.array(*(F.struct((-held(r.text)).alias("s"), F.lit(r.rule_id).alias("rule_id")) for r in known))
+    none = F.array().cast("array<struct<s:int,rule_id:string>>")
+    scores = F.concat(none, F.array(*(F.struct((-held(r.text)).alias("s"), F.lit(r.rule_id).alias("rule_id")) for r in known))) if known else none
     best = F.slice(F.array_sort(F.filter(scores, lambda x: x["s"] < 0)), 1, 5)
     return d.select("doc_id", F.explode(best).alias("b")).select("doc_id", "b.rule_id", (-F.col("b.s")).alias("score"))
 
@@ -100,7 +101,8 @@ def qa_report(spark, folder):
     i = rollup_plans._issues(spark, folder)
     is_ = lambda s: rollup.count_if(F.col("severity") == s)
     g = i.groupBy("repo").agg(F.count("*").alias("issues"), is_("error").alias("errors"), is_("warning").alias("warnings"), is_("info").alias("infos"), F.count_distinct("file_path").alias("files"))
-    score = F.round(F.greatest(F.lit(0.0), 100 - (F.col("errors") * 8 + F.col("warnings") * 4 + F.col("infos") * 2) / F.col("files").cast("double")), 4)
+    lost = F.try_divide((F.col("errors") * 8 + F.col("warnings") * 4 + F.col("infos") * 2).cast("double"), F.col("files").cast("double"))
+    score = F.round(F.greatest(F.lit(0.0), 100 - F.coalesce(lost, F.lit(0.0))), 4)
     return g.withColumn("score", score).withColumn("grade", F.when(F.col("score") >= 80, "good").when(F.col("score") >= 60, "fair").otherwise("poor"))
 
 
