@@ -80,7 +80,7 @@ def short_cycles(spark, folder):
 
 def all_callees(spark, folder):
     """Number of parts that each part leads to over walks of any length."""
-    return graph.closure(_next(spark, folder)).groupBy("src").agg(F.count("*").alias("callees"), F.max("depth").alias("depth"))
+    return graph.callees(_next(spark, folder))
 
 
 def all_callers(spark, folder):
