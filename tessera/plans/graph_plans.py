@@ -85,7 +85,7 @@ def all_callees(spark, folder):
 
 def all_callers(spark, folder):
     """Number of parts that lead to each part over walks of any length."""
-    return graph.closure(_next(spark, folder)).groupBy("dst").agg(F.count("*").alias("callers"), F.max("depth").alias("depth"))
+    return graph.callers(_next(spark, folder))
 
 
 def all_cycles(spark, folder):
